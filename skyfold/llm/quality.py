@@ -3,8 +3,7 @@
 Rules vote that a document is good or bad, or abstain.  Votes agree in a vector
 of a few outcomes, so a count for each vector seen (at most 3 ** rules rows)
 holds all that expectation-maximisation needs.  EM fits, for each class, how
-often a rule gives each vote, together with the share of good documents; the
-posterior of a vector is the quality of every document with those votes.  The
+often a rule gives each vote; the posterior of a vector is the quality of every document with those votes.  The
 fit is one ``aggregate`` expression over the counted vectors: no rows leave the
 executors but that one row.
 
@@ -27,10 +26,13 @@ WINDOW = 8
 EM_ROUNDS = 30
 #: What is believed of rules before any vote is counted: how often one calls a good
 #: or a bad document bad, abstains, or calls it good; worth so many documents for each counted.
-BELIEF_GOOD, BELIEF_BAD, BELIEF_WEIGHT = (0.002, 0.598, 0.4), (0.2, 0.6, 0.2), 0.1
+BELIEF_GOOD, BELIEF_BAD, BELIEF_WEIGHT = (0.001, 0.599, 0.4), (0.3, 0.4, 0.3), 0.02
+#: The share of good documents before the votes.  It is given, not estimated: with few
+#: votes for bad, an estimate drifts to one class.
+GOOD_SHARE = 0.9
 #: No rule is believed to call more of the good documents bad than this: the rules are
 #: written to be precise, and junk of one kind looks good to the rules for the others.
-MOST_FALSE_ALARMS = 0.002
+MOST_FALSE_ALARMS = 0.001
 KEEP_AT = 0.5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -106,7 +108,7 @@ def votes(m: dict[str, Column]) -> list[Column]:
         rule(m["n_upper"] / chars > 0.35),
         rule(m["n_shouts"] / n > 0.25),
         rule(m["n_adjacent"] / n > 0.2),
-        rule(m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)) > 0.3),
+        rule(m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)) > 0.6),
         rule((n >= 40) & (stops < 0.01), (stops > 0.03) & (stops < 0.4)),
         rule((chars / n < 2.5) | (chars / n > 20)),
         rule((n >= 40) & (n < 2000) & (distinct < 0.2), (n < 2000) & (distinct > 0.4)),
@@ -135,7 +137,7 @@ def label_model(counted: DataFrame, n_rules: int, rounds: int = EM_ROUNDS) -> Da
         share_of = lambda c: (in_cell(c) + weight * F.element_at(belief, c % 3 + 1)) / (of_class[0] + weight)
         bounded = lambda c: F.when((F.lit(sign) > 0) & (c % 3 == 0), F.least(share_of(c), F.lit(MOST_FALSE_ALARMS))).otherwise(share_of(c))
         cell_logs = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.log(bounded(c)))
-        return F.array_append(cell_logs, F.log(mass + 1))
+        return F.array_append(cell_logs, F.log(F.lit(GOOD_SHARE if sign > 0 else 1 - GOOD_SHARE)))
 
     def posterior(rows: Column, good: Column) -> Column:
         fit = F.array(F.struct(logs(rows, good, 1).alias("g"), logs(rows, good, -1).alias("b")))
