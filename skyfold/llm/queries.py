@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm import mixing, quality, url_filter
+from skyfold.llm import decontaminate, html_text, line_dedup, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
 
 URL_RULES = [
     # Verdict, host, path prefix.
@@ -26,18 +26,56 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_spans(docs, pii.fit(docs))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = url_filter.filter_urls(pages, url_filter.rule_table(spark, URL_RULES))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_quality": op6_quality, "op10_urls": op10_urls}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_minhash, op3_lines, op4_decontaminate, op5_toxicity, op6_quality, op7_pii, op8_html, op9_substrings, op10_urls)
+}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -61,6 +99,17 @@ o AS (SELECT d.doc_id, d.size, s8.source_size, s8.target, s8.whole, s8.rest,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source)
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM o""",
+    "op4_decontaminate": r"""
+WITH w AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+s AS (SELECT DISTINCT side, id, array_to_string(w[i : i + 4], ' ') AS g
+      FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s WHERE side = 1 GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared
+FROM s d JOIN s b ON d.g = b.g AND d.side = 0 AND b.side = 1 JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n.n)""",
     "op10_urls": r"""
 WITH p AS (
   SELECT page_id,
