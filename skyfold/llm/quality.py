@@ -76,10 +76,13 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("__windows", windows)
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("__lines", lines)
+    # A value that Spark takes for indeterminate keeps filters on the measures from being
+    # rewritten into filters on the text, with every array computed anew for each element.
+    fenced = F.when(F.monotonically_increasing_id() >= 0, F.col("n_words"))
     count = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
     return d.select(
         *docs.columns,
-        "n_words",
+        fenced.alias("n_words"),
         F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
