@@ -12,12 +12,14 @@ are linked when they share at least 75 % of their union.
    is compared, by a map-side aggregate: a group of copies with a third of all
    rows costs one row a task.
 3. Bands of slots make buckets.  Each member of a bucket is compared with the
-   bucket's smallest id and with the smallest of a random part of about
-   ``PART`` members, so pairs grow in proportion to members.  Compared means:
+   bucket's smallest id, so pairs grow in proportion to members.  Compared means:
    exact intersection of the full sets, next to each other in one row.
-4. Union-find (large and small stars) over the confirmed links.  Only pairs of a
-   bucket that are still in different components remain to be compared; they
-   are, all of them, and the components are joined again.
+4. Union-find (large and small stars) over the confirmed links.  What is left are
+   the buckets whose members are still in different components.  Their members
+   meet in blocks of ``BLOCK``, each with its set, and those outside the
+   block's largest component are intersected with all others at once; only
+   confirmed links come out.  No pair is skipped and no task holds more than two
+   blocks.  The components are then joined again.
 
 A pair at exactly 0.75 shares a bucket with probability 1 - (1 - 0.75**6)**32 =
 0.998, one at 0.8 with 0.9999; below the threshold links are never made.
@@ -44,8 +46,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
-#: Members of a bucket that are compared with one of them at random.
-PART = 8
+#: Members of a bucket in one block; a task holds two blocks of sets.
+BLOCK = 500
 #: Shingles whose slots are filled together; bounds a worker's arrays to some 30 MB.
 CHUNK = 1 << 17
 
@@ -140,16 +142,51 @@ def _confirmed(batches):
         yield pdf.loc[good, ["a", "b"]]
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = materialise(texts.mapInPandas(_sets, "doc_id long, words binary"))
     rows = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b")), "b")
     rows = rows.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a")), "a")
     return rows.select("a", "b", "words_a", "words_b").mapInPandas(_confirmed, "a long, b long").distinct()
 
 
+def links_in_block(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, words: list) -> list[tuple[int, int]]:
+    """All links between members in different components; of two blocks, those across them."""
+    sets = [np.frombuffer(w, np.uint64) for w in words]
+    size = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    elements, number = np.unique(np.concatenate(sets), return_inverse=True)
+    kinds, counts = np.unique(comp, return_counts=True)
+    largest = kinds[counts.argmax()]
+    two = block.min() != block.max()
+    out = []
+    mark = np.zeros(len(elements), np.int32)
+    for y in np.flatnonzero(comp != largest):
+        own = number[starts[y] : starts[y] + size[y]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[number], starts)
+        mark[own] = 0
+        hit = (DENOMINATOR * shared >= NUMERATOR * (size + size[y] - shared)) & (comp != comp[y])
+        if two:
+            hit &= block != block[y]
+        out += [(int(rep[y]), int(rep[x])) for x in np.flatnonzero(hit)]
+    return out
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    found = links_in_block(pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy(), pdf["words"].tolist()) if pdf["comp"].nunique() > 1 else []
+    return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
+
+
+def links_across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, rep, comp) of buckets -> links (a, b) between members of a bucket in different components."""
+    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    rows = placed.join(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "words"), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.groupBy("key", F.least("block", "other"), F.greatest("block", "other")).applyInPandas(_block_links, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     bound_batches(docs.sparkSession)
@@ -159,22 +196,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = materialise(whole.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     members = same.select("rep", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    members = materialise(members.join(buckets, "key"))
-    large = members.filter(F.col("n") > PART).withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / PART)))
-    parts = large.groupBy("key", "part").agg(F.min("rep").alias("first"))
-    pairs = members.select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    pairs = pairs.union(large.join(parts, ["key", "part"]).select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    links = materialise(confirm(docs, materialise(pairs.filter("a <> b").distinct())))
+    members = materialise(members.join(buckets.select("key", "least"), "key"))
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = materialise(texts.mapInPandas(_sets, "doc_id long, words binary"))
+    pairs = members.filter("least <> rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    links = materialise(confirm(sets, pairs))
     # Versions of one doc_id belong together: each set's rep is linked with all the ids that share it.
     reps = same.select("h1", "h2", "n_shingles", "rep")
     comp = materialise(components(links))
     placed = members.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    placed = placed.join(apart, "key", "left_semi")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-    rest = materialise(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    links = links.union(confirm(docs, rest))
+    links = links.union(links_across(placed, sets))
     versions = whole.join(reps, ["h1", "h2", "n_shingles"]).filter("doc_id <> rep")
     repeated = whole.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).filter("lo <> hi").select("doc_id")
     links = links.union(versions.join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
