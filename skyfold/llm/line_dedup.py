@@ -90,12 +90,12 @@ def enough(shared: Column, n: Column, m: Column) -> Column:
     return (NUM + DEN) * shared >= NUM * (n + m)
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (xd, xn earlier; yd, yn) -> (doc_id, th, line_no) of the later lines that match."""
-    x = lines.select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xn"), F.col("line").alias("x_line"))
-    y = lines.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yn"), F.col("th"), F.col("line").alias("y_line"))
-    both = pairs.join(y, pairs.yd.eqNullSafe(y.yd) & (pairs.yn == y.yn)).select(pairs.xd, pairs.xn, pairs.yd, pairs.yn, "th", "y_line")
-    both = both.join(x, both.xd.eqNullSafe(x.xd) & (both.xn == x.xn)).select("yd", "yn", "th", line_tokens(F.col("x_line")).alias("p"), line_tokens(F.col("y_line")).alias("q"))
+    x = sets.select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xn"), F.col("tokens").alias("p"))
+    y = sets.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yn"), F.col("th"), F.col("tokens").alias("q"))
+    both = pairs.join(y, pairs.yd.eqNullSafe(y.yd) & (pairs.yn == y.yn)).select(pairs.xd, pairs.xn, pairs.yd, pairs.yn, "th", "q")
+    both = both.join(x, both.xd.eqNullSafe(x.xd) & (both.xn == x.xn)).select("yd", "yn", "th", "p", "q")
     shared = F.size(F.array_intersect("p", "q"))
     return both.filter(enough(shared, F.size("p"), F.size("q"))).select(F.col("yd").alias("doc_id"), "th", F.col("yn").alias("line_no")).distinct()
 
@@ -118,7 +118,12 @@ def similar_later_lines(lines: DataFrame) -> DataFrame:
     near = both.filter(reach(F.col("n"), F.col("pos"), F.col("x.n"), F.col("x.pos")))
     near = near.filter(~(F.col("x.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("x.line_no") == F.col("line_no"))))
     pairs = near.select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xn"), F.col("doc_id").alias("yd"), F.col("line_no").alias("yn")).distinct()
-    gone = materialise(verified(pairs, lines))
+    pairs = materialise(pairs)
+    # Only lines of a proposed pair, or with something left to compare, are needed in full.
+    ends = met.select("doc_id", "line_no").distinct()
+    sets = lines.join(ends.withColumnsRenamed({"doc_id": "ed", "line_no": "en"}), F.col("doc_id").eqNullSafe(F.col("ed")) & (F.col("line_no") == F.col("en")), "left_semi")
+    sets = materialise(sets.select("doc_id", "th", "line_no", line_tokens(F.col("line")).alias("tokens")))
+    gone = materialise(verified(pairs, sets))
     found = gone.select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gn"))
     left = met.filter("prev is not null").select("doc_id", "line_no", "n", "pos", "token")
     left = left.join(found, left.doc_id.eqNullSafe(found.gd) & (left.line_no == found.gn), "left_anti")
@@ -126,7 +131,7 @@ def similar_later_lines(lines: DataFrame) -> DataFrame:
     earlier = (F.coalesce("x.doc_id", F.lit(-(2**63))) < F.coalesce("y.doc_id", F.lit(-(2**63)))) | (F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no")))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & earlier & reach(F.col("y.n"), F.col("y.pos"), F.col("x.n"), F.col("x.pos")))
     rest = rest.select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xn"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yn")).distinct()
-    return gone.union(verified(rest, lines)).distinct()
+    return gone.union(verified(materialise(rest), sets)).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = docs.select("text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("doc_id"))
     source = own.select("doc_id", "text")
     lines = materialise(first_lines(source))
-    gone = similar_later_lines(lines)
+    gone = materialise(similar_later_lines(lines))
     blank = source.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     blank = blank.filter(~F.col("line").rlike(r"[^\x20\x09-\x0D]")).distinct()
     rows = lines.select("doc_id", "th", "line_no", F.lit(1).alias("keep"), "line").union(blank.select("doc_id", "th", "line_no", F.lit(1), "line"))

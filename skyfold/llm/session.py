@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,10 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark deletes the shuffle files of a finished step once the driver has collected
+    # its plan; without this they stay on the executors' disks for the whole job.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
