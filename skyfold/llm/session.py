@@ -34,12 +34,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyfold-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
+    del df
     # Spark deletes the shuffle files of a finished step once the driver has collected
     # its plan; without this they stay on the executors' disks for the whole job.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def bound_batches(spark: SparkSession) -> None:
