@@ -1,11 +1,653 @@
-"""Queries by name over the driver's tables, each with equivalent SQL where there is one."""
+"""Registered queries of the survey engine: each a thin use of the operators, with the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from skyfold.functions import geo, names
+from skyfold.functions.vectors import cosine, dot, squared_distance
+from skyfold.operators import evaluate as ev
+from skyfold.operators import grid, tiling, triage, vector
+from skyfold.plans import fixtures as fx
+from skyfold.plans.fixtures import GRID, sql, table
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+# --- frames and triage -------------------------------------------------------------------
+
+
+@query(sql("frames") + " SELECT id, flight FROM (SELECT *, row_number() OVER (PARTITION BY flight ORDER BY ts, id) - 1 AS i FROM frames) WHERE i % 3 = 0")
+def every_nth(spark, d):
+    return triage.every_nth(fx.frames(spark, d), 3, ["flight"], ["ts", "id"]).select("id", "flight")
+
+
+DIST = "sqrt(pow(radians(b.lon - a.lon) * cos((radians(a.lat) + radians(b.lat)) / 2), 2) + pow(radians(b.lat) - radians(a.lat), 2)) * 6371000.0"
+
+
+@query(
+    sql("frames", recursive=True)
+    + f""",
+n AS (SELECT *, row_number() OVER (PARTITION BY flight ORDER BY ts, id) AS k FROM frames WHERE lat IS NOT NULL),
+w AS (SELECT flight, k, id, lat, lon, true AS kept FROM n WHERE k = 1
+  UNION ALL SELECT b.flight, b.k, CASE WHEN {DIST} >= 1500 THEN b.id ELSE a.id END, CASE WHEN {DIST} >= 1500 THEN b.lat ELSE a.lat END, CASE WHEN {DIST} >= 1500 THEN b.lon ELSE a.lon END, {DIST} >= 1500
+  FROM w a JOIN n b ON a.flight = b.flight AND b.k = a.k + 1)
+SELECT flight, id FROM w WHERE kept UNION ALL SELECT flight, id FROM frames WHERE lat IS NULL"""
+)
+def gps_min_spacing(spark, d):
+    return triage.min_spacing(fx.frames(spark, d), 1500.0, "flight", ["ts", "id"], "id")
+
+
+@query(
+    sql("frames")
+    + """, l AS (SELECT *, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon FROM frames WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY flight ORDER BY ts, id)),
+m AS (SELECT flight, sqrt(pow(radians(lon - alon) * cos((radians(alat) + radians(lat)) / 2), 2) + pow(radians(lat) - radians(alat), 2)) * 6371000.0 AS metres FROM l)
+SELECT flight, count(*) AS frames, round(avg(metres), 4) AS mean_m, round(min(metres), 4) AS min_m, round(max(metres), 4) AS max_m FROM m GROUP BY flight"""
+)
+def frame_spacing_stats(spark, d):
+    s = triage.spacing(fx.frames(spark, d), ["flight"], ["ts", "id"])
+    return s.groupBy("flight").agg(F.count("*").alias("frames"), F.round(F.avg("metres"), 4).alias("mean_m"), F.round(F.min("metres"), 4).alias("min_m"), F.round(F.max("metres"), 4).alias("max_m"))
+
+
+def originals(spark, d):
+    return table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("name"), F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id"), F.lit(".jpg")).alias("path"))
+
+
+@query(sql("decisions") + " SELECT o.name, o.source || '/' || o.name || '.jpg' AS path FROM (SELECT 'doc_' || doc_id AS name, source FROM documents) o SEMI JOIN (SELECT * FROM decisions WHERE decision = 'keep') k ON o.name = k.name")
+def triage_plan(spark, d):
+    return triage.plan(fx.decisions(spark, d), originals(spark, d))[0].select("name", "path")
+
+
+@query("SELECT 'doc_' || doc_id AS name FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY doc_id")
+def triage_missing(spark, d):
+    """Kept names whose original is not among the English documents."""
+    english = table(spark, d, "documents").filter("lang = 'en'").select(F.concat(F.lit("doc_"), "doc_id").alias("name"))
+    keep = table(spark, d, "labels").select(F.concat(F.lit("doc_"), "doc_id").alias("name"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "keep").otherwise("skip").alias("decision"))
+    return triage.plan(keep, english)[1]
+
+
+@query(sql("decisions") + " SELECT decision, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM decisions GROUP BY decision")
+def decisions_summary(spark, d):
+    return triage.counted(fx.decisions(spark, d), "decision")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resumable_work_list(spark, d):
+    return triage.work_list(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id"), "doc_id")
+
+
+@query(
+    """SELECT kind, count(*) AS n FROM (
+  SELECT CASE WHEN l.doc_id IS NULL THEN 'empty' WHEN e.doc_id IS NULL THEN 'missing' ELSE 'usable' END AS kind
+  FROM (SELECT doc_id FROM documents WHERE lang = 'en') e FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON e.doc_id = l.doc_id) GROUP BY kind"""
+)
+def annotation_partition(spark, d):
+    """Tiles in both tables, annotated without an image, and images without annotation."""
+    images = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
+    notes = table(spark, d, "labels").select("doc_id").distinct()
+    parts = images.join(notes, "doc_id", "left_semi").select(F.lit("usable").alias("kind"))
+    parts = parts.union(notes.join(images, "doc_id", "left_anti").select(F.lit("missing"))).union(images.join(notes, "doc_id", "left_anti").select(F.lit("empty")))
+    return parts.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    sql("actions")
+    + """, g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, event_id) - row_number() OVER (PARTITION BY name, action ORDER BY ts, event_id) AS grp,
+  row_number() OVER (PARTITION BY name ORDER BY ts DESC, event_id DESC) AS back FROM actions),
+runs AS (SELECT name, action, grp, count(*) AS n, min(back) AS back FROM g GROUP BY name, action, grp)
+SELECT name, CASE WHEN action = 'undo' OR n % 2 = 0 THEN 'undecided' ELSE action END AS state FROM runs WHERE back = 1"""
+)
+def triage_last_state(spark, d):
+    return triage.last_state(fx.actions(spark, d), "name", ["ts", "event_id"])
+
+
+# --- tiles, markers, exports -------------------------------------------------------------------
+
+
+def images(spark, d):
+    return table(spark, d, "region").select(F.col("r_regionkey").alias("image"), F.lit(8192).alias("width"), F.lit(5460).alias("height"))
+
+
+def grid_sql(xs: str, ys: str) -> str:
+    return f"""SELECT image, r AS "row", c AS col, x0, y0, least(x0 + 1024, 8192) AS x1, least(y0 + 1024, 5460) AS y1, x0 + 1024 > 8192 OR y0 + 1024 > 5460 AS padded
+FROM (SELECT r_regionkey AS image FROM region) CROSS JOIN (SELECT unnest(range(8))::INT AS c, unnest({xs})::INT AS x0) CROSS JOIN (SELECT unnest(range(len({ys})))::INT AS r, unnest({ys})::INT AS y0)"""
+
+
+@query(grid_sql("[0, 1024, 2048, 3072, 4096, 5120, 6144, 7168]", "[0, 1024, 2048, 3072, 4096, 5120]"))
+def tile_grid(spark, d):
+    return tiling.tile_grid(images(spark, d), 1024, "pad").select("image", "row", "col", "x0", "y0", "x1", "y1", "padded")
+
+
+@query(grid_sql("[0, 1024, 2048, 3072, 4096, 5120, 6144, 7168]", "[0, 1024, 2048, 3072, 4096, 4436]"))
+def tile_origins_shift(spark, d):
+    return tiling.tile_grid(images(spark, d), 1024, "shift").select("image", "row", "col", "x0", "y0", "x1", "y1", "padded")
+
+
+@query(grid_sql("[0, 1024, 2048, 3072, 4096, 5120, 6144, 7168]", "[0, 1024, 2048, 3072, 4096]"))
+def tile_origins_crop(spark, d):
+    return tiling.tile_grid(images(spark, d), 1024, "crop").select("image", "row", "col", "x0", "y0", "x1", "y1", "padded")
+
+
+def blobs(spark, d):
+    r = fx.rects(spark, d)
+    return r.select(F.col("tile").alias("source"), F.col("inst").alias("blob"), "x0", "y0", (F.col("x1") + 1).alias("x1"), (F.col("y1") + 1).alias("y1"))
+
+
+def small_tiles(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), F.lit(GRID).alias("width"), F.lit(GRID).alias("height"))
+    return tiling.tile_grid(o, 12, "shift").select("source", "row", "col", "x0", "y0", "x1", "y1")
+
+
+OVERLAP = (
+    sql("rects")
+    + """, b AS (SELECT tile AS source, inst AS blob, x0, y0, x1 + 1 AS x1, y1 + 1 AS y1 FROM rects),
+t AS (SELECT o_orderkey AS source, r, c, o.v AS y0, p.v AS x0, o.v + 12 AS y1, p.v + 12 AS x1 FROM orders, (VALUES (0, 0), (1, 12), (2, 20)) o(r, v), (VALUES (0, 0), (1, 12), (2, 20)) p(c, v)),
+j AS (SELECT b.source, b.blob, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, t.r, t.c, t.x0 AS tx0, t.y0 AS ty0 FROM b JOIN t ON b.source = t.source AND b.x0 < t.x1 AND b.x1 > t.x0 AND b.y0 < t.y1 AND b.y1 > t.y0)"""
+)
+
+
+@query(OVERLAP + """ SELECT source, blob, r AS "row", c AS col FROM j""")
+def blob_tile_overlap(spark, d):
+    j = tiling.blobs_on_tiles(blobs(spark, d), small_tiles(spark, d), 16)
+    return j.select(F.col("b_source").alias("source"), F.col("b_blob").alias("blob"), F.col("t_row").alias("row"), F.col("t_col").alias("col"))
+
+
+@query(
+    OVERLAP
+    + """ SELECT source || '_r' || r || '_c' || c || '.jpg' AS tile, source || '#' || blob AS marker_uid, bx0 - tx0 AS marker_x0, by0 - ty0 AS marker_y0, bx1 - tx0 AS marker_x1, by1 - ty0 AS marker_y1,
+  greatest(0, least(12, bx0 - tx0)) AS clip_x0, greatest(0, least(12, by1 - ty0)) AS clip_y1 FROM j"""
+)
+def crib_sheet(spark, d):
+    j = tiling.crib(tiling.blobs_on_tiles(blobs(spark, d), small_tiles(spark, d), 16))
+    return j.select(names.tile_name(F.col("b_source").cast("string"), F.col("t_row"), F.col("t_col")).alias("tile"), names.marker_uid(F.col("b_source").cast("string"), F.col("b_blob")).alias("marker_uid"), "marker_x0", "marker_y0", "marker_x1", "marker_y1", "clip_x0", "clip_y1")
+
+
+@query(OVERLAP + " SELECT source, count(*) AS sightings, count(DISTINCT blob) AS markers FROM j GROUP BY source")
+def marker_sightings_dedup(spark, d):
+    j = tiling.blobs_on_tiles(blobs(spark, d), small_tiles(spark, d), 16).select("b_source", "b_blob")
+    per = j.groupBy("b_source", "b_blob").agg(F.count("*").alias("n"))
+    return per.groupBy(F.col("b_source").alias("source")).agg(F.sum("n").alias("sightings"), F.count("*").alias("markers"))
+
+
+@query(
+    """SELECT p_partkey, batch, image_id FROM (SELECT p_partkey, 'batch_' || lpad(((i // 100) + 1)::VARCHAR, greatest(2, length(ceil(n / 100.0)::INT::VARCHAR))::INT, '0') AS batch, (i % 100)::INT AS image_id
+  FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part))"""
+)
+def batch_assign(spark, d):
+    return tiling.batches(table(spark, d, "part").select("p_partkey"), 100, "p_partkey").select("p_partkey", "batch", "image_id")
+
+
+@query("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 + 1)::INT AS batch_no, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 20)::INT AS image_id FROM documents")
+def batch_reindex(spark, d):
+    return tiling.batches(table(spark, d, "documents").select("doc_id", "source"), 20, "doc_id", ["source"]).select("doc_id", "source", "batch_no", "image_id")
+
+
+def exports(spark, d):
+    """Documents as images of exports: the name is the first word's length and the language, so names collide."""
+    t = table(spark, d, "documents")
+    return t.select(F.concat("lang", F.lit("_"), (F.col("doc_id") % 500).cast("string")).alias("name"), F.col("doc_id").alias("export_ord"), F.sha2("text", 256).alias("sha"), F.col("n_chars").alias("shapes"))
+
+
+EXPORTS = """WITH e AS (SELECT lang || '_' || (doc_id % 500) AS name, doc_id AS export_ord, sha256(text) AS sha, n_chars AS shapes FROM documents),
+f AS (SELECT name, arg_min(sha, export_ord) AS first FROM e GROUP BY name), j AS (SELECT e.*, sha = first AS same FROM e JOIN f USING (name))"""
+
+
+@query(EXPORTS + " SELECT name, sha, sum(shapes)::BIGINT AS shapes, count(*) AS exports FROM j WHERE same GROUP BY name, sha")
+def export_merge(spark, d):
+    return tiling.merge_exports(exports(spark, d))[0]
+
+
+@query(EXPORTS + " SELECT export_ord, name, sha, shapes FROM j WHERE NOT same")
+def export_collisions(spark, d):
+    return tiling.merge_exports(exports(spark, d))[1]
+
+
+@query("SELECT coalesce(source, 'TOTAL') AS source, count(*) AS images, count(*) FILTER (l.doc_id IS NULL) AS empty, round(100.0 * count(*) FILTER (l.doc_id IS NULL) / count(*), 4) AS empty_percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY ROLLUP (source)")
+def empty_frame_rate(spark, d):
+    j = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("has")).distinct(), "doc_id", "left")
+    g = j.rollup("source").agg(F.count("*").alias("images"), F.count_if(F.col("has").isNull()).alias("empty"))
+    return g.select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "images", "empty", F.round(100.0 * F.col("empty") / F.col("images"), 4).alias("empty_percent"))
+
+
+@query(
+    """SELECT colour, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM (
+  SELECT CASE WHEN b >= p AND b >= 30 THEN 'blue' WHEN p > b AND p >= 30 THEN 'pink' WHEN a >= 60 THEN 'blank' ELSE 'unknown' END AS colour FROM (
+    SELECT l_orderkey, sum(l_quantity) FILTER (l_linestatus = 'O') AS b0, coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0) AS b, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS p, sum(l_quantity) AS a FROM lineitem GROUP BY l_orderkey)) GROUP BY colour"""
+)
+def paint_class_counts(spark, d):
+    """Orders as markers: quantities of two flags as paint, all as board area."""
+    q = F.col("l_quantity")
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(0)).alias("b"), F.sum(F.when(F.col("l_returnflag") == "R", q).otherwise(0)).alias("p"), F.sum(q).alias("a"))
+    colour = F.when((F.col("b") >= F.col("p")) & (F.col("b") >= 30), "blue").when((F.col("p") > F.col("b")) & (F.col("p") >= 30), "pink").when(F.col("a") >= 60, "blank").otherwise("unknown")
+    return triage.counted(g.select(colour.alias("colour")), "colour")
+
+
+# --- geometry -------------------------------------------------------------------
+
+
+def polygons(spark, d):
+    """Rectangles with one corner cut, as rings."""
+    r = fx.rects(spark, d)
+    pt = lambda x, y: F.struct((F.col(x) * 1.0).alias("x"), (F.col(y) * 1.0).alias("y"))
+    return r.select("tile", "inst", F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1"), pt("x0", "cy")).alias("ring"))
+
+
+@query(sql("rects") + " SELECT tile, inst, ((x1 - x0) * (y1 - y0))::DOUBLE AS area FROM rects")
+def polygon_area(spark, d):
+    return polygons(spark, d).select("tile", "inst", geo.shoelace(F.col("ring")).alias("area"))
+
+
+@query(sql("rects") + " SELECT tile, count(*) AS n, max((x1 - x0) * (y1 - y0)) / 1024.0::DOUBLE AS max_share, min(x0)::DOUBLE AS x0, max(y1)::DOUBLE AS y1 FROM rects GROUP BY tile")
+def polygon_bbox_stats(spark, d):
+    p = polygons(spark, d).select("tile", geo.ring_box(F.col("ring")).alias("b"))
+    share = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0")) / 1024.0
+    return p.groupBy("tile").agg(F.count("*").alias("n"), F.max(share).alias("max_share"), F.min("b.x0").alias("x0"), F.max("b.y1").alias("y1"))
+
+
+@query(sql("rects") + " SELECT count(*) AS n, count(*) FILTER (x0 <= 1 OR y0 <= 1 OR x1 >= 31 OR y1 >= 31) AS clipped FROM rects")
+def border_clipped(spark, d):
+    p = polygons(spark, d).select(geo.ring_box(F.col("ring")).alias("b"))
+    edge = (F.col("b.x0") <= 1) | (F.col("b.y0") <= 1) | (F.col("b.x1") >= GRID - 1) | (F.col("b.y1") >= GRID - 1)
+    return p.agg(F.count("*").alias("n"), F.count_if(edge).alias("clipped"))
+
+
+@query(sql("rects") + ", a AS (SELECT (x1 - x0) * (y1 - y0) / 1024.0::DOUBLE AS s FROM rects) SELECT round(quantile_cont(s, 0.05), 6) AS p05, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95 FROM a")
+def geometry_quantiles(spark, d):
+    s = polygons(spark, d).select((geo.shoelace(F.col("ring")) / 1024.0).alias("s"))
+    q = s.agg(F.percentile("s", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
+    return q.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+
+
+@query(sql("rects", "cells") + " SELECT tile, gt, count(DISTINCT r * 32 + c) AS cells FROM cells GROUP BY tile, gt")
+def rect_raster_cells(spark, d):
+    r = fx.rects(spark, d)
+    c = fx.cells(r).join(r.select("tile", "inst", "gt"), ["tile", "inst"]).select("tile", "gt", "r", "c").distinct()
+    return c.groupBy("tile", "gt").agg(F.count("*").alias("cells"))
+
+
+def gt_pred(spark, d):
+    r = fx.rects(spark, d)
+    return fx.cells(r.filter("gt")), fx.cells(r.filter("not gt"))
+
+
+def coverage(spark, d, patch: int = 4):
+    """(tile, pr, pc, cover, y): the covered share of each patch that a true rectangle touches, and its label."""
+    gt = gt_pred(spark, d)[0].select("tile", "r", "c").distinct()
+    g = gt.groupBy("tile", F.floor(F.col("r") / patch).cast("int").alias("pr"), F.floor(F.col("c") / patch).cast("int").alias("pc")).agg((F.count("*") / float(patch * patch)).alias("cover"))
+    return g.withColumn("y", F.when(F.col("cover") >= 0.5, 1).when(F.col("cover") <= 0.1, 0).otherwise(-1))
+
+
+COVER = sql("rects", "cells") + ", g AS (SELECT tile, r // 4 AS pr, c // 4 AS pc, count(DISTINCT r * 32 + c) / 16.0::DOUBLE AS cover FROM cells WHERE gt GROUP BY 1, 2, 3), p AS (SELECT *, CASE WHEN cover >= 0.5 THEN 1 WHEN cover <= 0.1 THEN 0 ELSE -1 END AS y FROM g)"
+
+
+@query(COVER + " SELECT tile, pr, pc, cover, y FROM p")
+def patch_coverage_labels(spark, d):
+    return coverage(spark, d)
+
+
+@query(COVER + " SELECT y, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM p GROUP BY y")
+def class_balance(spark, d):
+    return triage.counted(coverage(spark, d), "y")
+
+
+# --- masks and components -------------------------------------------------------------------
+
+
+@query(
+    sql("rects", "cells")
+    + """, m AS (SELECT tile, r, c, bool_or(gt) AS g, bool_or(NOT gt) AS p FROM cells GROUP BY 1, 2, 3),
+t AS (SELECT tile, count(*) FILTER (g AND p) AS i, count(*) FILTER (g) AS ng, count(*) FILTER (p) AS np FROM m GROUP BY tile)
+SELECT count(*) AS tiles_scored, round(avg(i / (ng + np - i)::DOUBLE), 6) AS mean_iou, round(avg(2 * i / (ng + np)::DOUBLE), 6) AS mean_dice FROM t"""
+)
+def mask_iou_dice(spark, d):
+    gt, pred = gt_pred(spark, d)
+    return ev.mask_scores(pred, gt).agg(F.count("*").alias("tiles_scored"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.avg("dice"), 6).alias("mean_dice"))
+
+
+@query(
+    sql("rects", "cells")
+    + """, m AS (SELECT DISTINCT tile, r, c FROM cells WHERE NOT gt),
+o AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc)),
+e AS (SELECT tile, r + dr AS r, c + dc AS c FROM m, o WHERE r + dr BETWEEN 0 AND 31 AND c + dc BETWEEN 0 AND 31 GROUP BY 1, 2, 3 HAVING count(*) = 9),
+op AS (SELECT DISTINCT tile, r + dr AS r, c + dc AS c FROM e, o WHERE r + dr BETWEEN 0 AND 31 AND c + dc BETWEEN 0 AND 31),
+di AS (SELECT DISTINCT tile, r + dr AS r, c + dc AS c FROM m, o WHERE r + dr BETWEEN 0 AND 31 AND c + dc BETWEEN 0 AND 31),
+cl AS (SELECT tile, r + dr AS r, c + dc AS c FROM di, o WHERE r + dr BETWEEN 0 AND 31 AND c + dc BETWEEN 0 AND 31 GROUP BY 1, 2, 3 HAVING count(*) = (least(any_value(r + dr) + 1, 31) - greatest(any_value(r + dr) - 1, 0) + 1) * (least(any_value(c + dc) + 1, 31) - greatest(any_value(c + dc) - 1, 0) + 1))
+SELECT 'open' AS op, tile, count(*) AS cells, sum(r * 32 + c)::BIGINT AS mark FROM op GROUP BY tile UNION ALL SELECT 'close', tile, count(*), sum(r * 32 + c)::BIGINT FROM cl GROUP BY tile"""
+)
+def morph_open_close(spark, d):
+    m = gt_pred(spark, d)[1].select("tile", "r", "c").distinct()
+    mark = lambda df, op: df.groupBy("tile").agg(F.count("*").alias("cells"), F.sum(F.col("r") * GRID + F.col("c")).cast("long").alias("mark")).select(F.lit(op).alias("op"), "tile", "cells", "mark")
+    return mark(grid.opening(m, 1, GRID), "open").union(mark(grid.closing(m, 1, GRID, border=True), "close"))
+
+
+COMPONENTS = (
+    sql("rects", "cells", recursive=True)
+    + """, m AS (SELECT DISTINCT tile, r, c FROM cells WHERE NOT gt),
+q AS (SELECT *, c - row_number() OVER (PARTITION BY tile, r ORDER BY c) AS g FROM m),
+runs AS (SELECT tile, r, min(c) AS c0, max(c) AS c1, min(r * 32 + c) AS id FROM q GROUP BY tile, r, g),
+link AS (SELECT a.tile, a.id AS u, b.id AS v FROM runs a JOIN runs b ON a.tile = b.tile AND abs(a.r - b.r) = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+reach AS (SELECT tile, id AS u, id AS v FROM runs UNION SELECT reach.tile, reach.u, link.v FROM reach JOIN link ON reach.tile = link.tile AND reach.v = link.u),
+root AS (SELECT tile, u, min(v) AS root FROM reach GROUP BY tile, u),
+comp AS (SELECT runs.*, dense_rank() OVER (PARTITION BY runs.tile ORDER BY root) AS component FROM runs JOIN root ON runs.tile = root.tile AND runs.id = root.u)"""
+)
+
+
+@query(COMPONENTS + " SELECT tile, r, c0, c1, component::INT AS component FROM comp")
+def connected_components(spark, d):
+    m = gt_pred(spark, d)[1].select("tile", "r", "c").distinct()
+    return grid.components(m)
+
+
+@query(COMPONENTS + " SELECT tile, component::INT AS component, sum(c1 - c0 + 1)::BIGINT AS area, min(r) AS r0, min(c0) AS x0, max(r) AS r1, max(c1) AS x1, round_even(sum(c1 - c0 + 1)::DOUBLE / ((max(r) - min(r) + 1) * (max(c1) - min(c0) + 1)), 3) AS fill FROM comp GROUP BY tile, component")
+def component_boxes(spark, d):
+    m = gt_pred(spark, d)[1].select("tile", "r", "c").distinct()
+    return grid.boxes(grid.components(m))
+
+
+# --- instances -------------------------------------------------------------------
+
+
+def instance_scores(pred, conf, gt):
+    """(iou, ap) at each threshold and the number of instances."""
+    pairs = ev.instance_pairs(pred, gt)
+    hits = ev.greedy_hits(conf, pairs)
+    n_gt = gt.select("tile", "inst").distinct().count()
+    from skyfold.operators.stored import stored
+
+    hits = stored(hits)
+    out = None
+    for k, t in enumerate(ev.IOU_STEPS):
+        one = ev.interpolated_ap(hits.select("tile", "pred", "conf", F.col("hits")[k].alias("hit")), n_gt).select(F.lit(t).alias("iou"), F.round("ap", 6).alias("ap"), F.lit(n_gt).cast("long").alias("n_gt"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query()
+def native_instance_ap(spark, d):
+    """Predicted rectangles with their own confidence against true ones."""
+    r = fx.rects(spark, d)
+    gt, pred = gt_pred(spark, d)
+    return instance_scores(pred, r.filter("not gt").select("tile", F.col("inst").alias("pred"), "conf"), gt)
+
+
+def component_instances(cells):
+    """Components of at least 8 cells after closing and opening, as instances."""
+    m = grid.opening(grid.closing(cells.select("tile", "r", "c").distinct(), 1, GRID), 1, GRID)
+    c = grid.cells_of_runs(grid.components(m)).withColumnRenamed("component", "inst")
+    big = c.groupBy("tile", "inst").agg(F.count("*").alias("n")).filter("n >= 8")
+    return c.join(big.select("tile", "inst"), ["tile", "inst"]), big
+
+
+@query()
+def instance_ap(spark, d):
+    """Components of the predicted mask, scored by size, against true rectangles."""
+    gt, pred = gt_pred(spark, d)
+    inst, big = component_instances(pred)
+    return instance_scores(inst, big.select("tile", F.col("inst").alias("pred"), (F.col("n") / float(GRID * GRID)).alias("conf")), gt)
+
+
+@query()
+def component_ceiling(spark, d):
+    """The true masks as predictions: the best that components can score."""
+    gt, _ = gt_pred(spark, d)
+    inst, big = component_instances(gt)
+    return instance_scores(inst, big.select("tile", F.col("inst").alias("pred"), F.lit(1.0).alias("conf")), gt)
+
+
+@query(
+    sql("rects")
+    + """, h AS (SELECT tile, inst, conf, (cx + cy) % 3 = 0 AS hit, (SELECT count(*) FROM rects WHERE gt) AS n FROM rects WHERE NOT gt),
+w AS (SELECT *, sum(hit::INT) OVER o AS tp, row_number() OVER o AS k FROM h WINDOW o AS (ORDER BY conf DESC, tile, inst)),
+e AS (SELECT q, coalesce((SELECT max(tp / k::DOUBLE) FROM w WHERE tp * 100 >= q * n), 0) AS p FROM (SELECT unnest(range(101)) AS q))
+SELECT round(avg(p), 6) AS ap FROM e"""
+)
+def coco_ap_from_hits(spark, d):
+    r = fx.rects(spark, d)
+    h = r.filter("not gt").select("tile", F.col("inst").alias("pred"), "conf", ((F.col("cx") + F.col("cy")) % 3 == 0).alias("hit"))
+    return ev.interpolated_ap(h, r.filter("gt").count()).select(F.round("ap", 6).alias("ap"))
+
+
+# --- vectors -------------------------------------------------------------------
+
+
+@query(sql("vectors") + " SELECT vec_id, round(list_sum(list_transform(u, lambda x: x)), 6) AS total, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS length FROM (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-8)) AS u FROM vectors)")
+def l2_normalize(spark, d):
+    u = vector.l2(fx.vectors(spark, d))
+    return u.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.sqrt(dot(F.col("v"), F.col("v"))), 6).alias("length"))
+
+
+CENTROIDS = sql("vectors") + """, dims AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(len(v))) AS i FROM vectors),
+cen AS (SELECT label AS ref, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM dims GROUP BY label, i) GROUP BY label)"""
+
+
+@query(sql("vectors", "scored") + " SELECT vec_id, round(list_dot_product(v, m) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(m, m)) + 1e-8), 6) AS cosine FROM vectors, ref")
+def cosine_to_centroid(spark, d):
+    v = fx.vectors(spark, d)
+    ref = vector.centroids(v.filter("label = 0"), "label")
+    return vector.nearest(v.drop("label"), ref, "label", lambda c: cosine(F.col("v"), c)).select("vec_id", F.round("score", 6).alias("cosine"))
+
+
+@query(sql("vectors", "scored") + " SELECT vec_id, vec_id // 25 AS tile, round((p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w + 1e-8), 5) AS heat FROM scored WINDOW w AS (PARTITION BY vec_id // 25)")
+def minmax_heat(spark, d):
+    s = fx.scored(spark, d).withColumn("tile", F.expr("vec_id div 25"))
+    return vector.min_max(s, "tile", "p").select("vec_id", "tile", F.round("heat", 5).alias("heat"))
+
+
+def class_logits(spark, d):
+    v = fx.vectors(spark, d)
+    refs = vector.centroids(v, "label")
+    rows = refs.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("r")).first()["r"]
+    lit = F.array(*[F.struct(F.lit(r["label"]).alias("class"), F.array(*[F.lit(float(x)) for x in r["centroid"]]).alias("c")) for r in rows])
+    return v.select("vec_id", "v", F.explode(lit).alias("x")).select("vec_id", F.col("x.class").alias("class"), (dot(F.col("v"), F.col("x.c")) * 10).alias("logit"))
+
+
+@query(CENTROIDS + ", l AS (SELECT vec_id, ref, 10 * list_dot_product(v, m) AS z FROM vectors, cen), s AS (SELECT vec_id, ref, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p FROM l WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, arg_max(ref, p) AS class, round(max(p), 6) AS p FROM s GROUP BY vec_id")
+def softmax_argmax(spark, d):
+    s = vector.softmax(class_logits(spark, d), ["vec_id"], "logit")
+    return s.groupBy("vec_id").agg(F.max_by("class", "p").alias("class"), F.round(F.max("p"), 6).alias("p"))
+
+
+@query(CENTROIDS + ", s AS (SELECT vec_id, ref, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM vectors, cen) SELECT vec_id, arg_min(ref, d) AS cluster, round(min(d), 6) AS distance FROM s GROUP BY vec_id")
+def nearest_centroid_assign(spark, d):
+    v = fx.vectors(spark, d)
+    c = vector.centroids(v, "label").withColumnRenamed("label", "cluster")
+    return vector.nearest(v, c, "cluster", lambda x: squared_distance(F.col("v"), x), "min").select("vec_id", "cluster", F.round("score", 6).alias("distance"))
+
+
+@query(
+    CENTROIDS
+    + """, t AS (SELECT tile, list(m ORDER BY i) AS m FROM (SELECT vec_id // 25 AS tile, i, avg(x) AS m FROM dims GROUP BY 1, 2) GROUP BY tile),
+s AS (SELECT tile, ref, list_dot_product(t.m, cen.m) / (sqrt(list_dot_product(t.m, t.m)) * sqrt(list_dot_product(cen.m, cen.m)) + 1e-8) AS cs FROM t, cen)
+SELECT tile, arg_max(ref, cs) AS reference, round(max(cs), 6) AS cosine FROM s GROUP BY tile"""
+)
+def reference_centroid_match(spark, d):
+    v = fx.vectors(spark, d)
+    tiles = vector.centroids(v.withColumn("tile", F.expr("vec_id div 25")), "tile").select("tile", F.col("centroid").alias("v"))
+    refs = vector.centroids(v, "label").withColumnRenamed("label", "reference")
+    return vector.nearest(tiles, refs, "reference", lambda c: cosine(F.col("v"), c)).select("tile", "reference", F.round("score", 6).alias("cosine"))
+
+
+@query(
+    CENTROIDS
+    + """, s AS (SELECT vec_id, ref, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM vectors, cen), a AS (SELECT vec_id, arg_min(ref, d) AS cluster FROM s GROUP BY vec_id)
+SELECT cluster, n, round(list_sum(m), 6) AS total FROM (SELECT cluster, list(m) AS m, max(n) AS n FROM (SELECT cluster, i, avg(x) AS m, count(*) AS n FROM dims JOIN a USING (vec_id) GROUP BY cluster, i) GROUP BY cluster)"""
+)
+def lloyd_one_step(spark, d):
+    v = fx.vectors(spark, d)
+    out = vector.lloyd_step(v.drop("label"), vector.centroids(v, "label").withColumnRenamed("label", "cluster"), "cluster")
+    return out.select("cluster", "n", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query()
+def kmeans_clusters(spark, d):
+    return vector.kmeans(fx.vectors(spark, d), 12).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def probe_split(spark, d):
+    """Vectors with y, group and split; weights and features for the fit."""
+    from pyspark.ml.functions import array_to_vector
+
+    v = vector.l2(fx.vectors(spark, d)).withColumn("frame", F.expr("vec_id div 100")).withColumn("y", (F.col("label") == 0).cast("int"))
+    split = vector.group_split(v, "frame", 0.3)
+    rows = v.join(F.broadcast(split), "frame").withColumn("features", array_to_vector("v"))
+    return vector.balanced_weights(rows.filter("split = 'train'"), "y"), rows.filter("split = 'val'")
+
+
+@query()
+def logistic_probe(spark, d):
+    train, val = probe_split(spark, d)
+    model = vector.fit_heads(train, "y", names=("logistic",))["logistic"]
+    s = vector.class_one(model, val)
+    return s.select("vec_id", "y", F.round("p", 4).alias("p"))
+
+
+@query()
+def head_comparison(spark, d):
+    train, val = probe_split(spark, d)
+    train = train.cache()
+    out = None
+    for name, model in vector.fit_heads(train, "y").items():
+        s = vector.class_one(model, val)
+        one = ev.average_precision(s).select(F.lit(name).alias("head"), F.round("ap", 4).alias("ap"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+# --- splits -------------------------------------------------------------------
+
+
+@query("WITH g AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('0:' || o_custkey), o_custkey) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders)) SELECT o_custkey, CASE WHEN k <= ceil(n * 0.3::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM g")
+def group_split_disjoint(spark, d):
+    return vector.group_split(table(spark, d, "orders"), "o_custkey", 0.3)
+
+
+@query("WITH g AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, label, CASE WHEN k <= ceil(n * 0.25::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM g")
+def stratified_split(spark, d):
+    g = vector.hash_rank(fx.vectors(spark, d), "vec_id", "0:", ["label"])
+    return g.select("vec_id", "label", F.when(F.col("rank") <= F.ceil(F.col("groups") * 0.25), "test").otherwise("train").alias("split"))
+
+
+@query(
+    """WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS k FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
+f AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::VARCHAR AS source, 0::BIGINT AS n, -1 AS fold
+  UNION ALL SELECT g.k, list_transform(f.load, lambda v, i: CASE WHEN i = list_position(f.load, list_min(f.load)) THEN v + g.n ELSE v END), g.source, g.n, list_position(f.load, list_min(f.load)) - 1 FROM f JOIN g ON g.k = f.k + 1)
+SELECT source, n, fold::INT AS fold FROM f WHERE k > 0"""
+)
+def group_kfold(spark, d):
+    return vector.group_folds(table(spark, d, "documents"), "source", 5)
+
+
+# --- evaluation -------------------------------------------------------------------
+
+CURVE = sql("vectors", "scored") + """, g AS (SELECT p, sum(y) AS pos, count(*) AS n FROM scored GROUP BY p),
+w AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS seen, sum(pos) OVER () AS np FROM g)"""
+
+
+@query(CURVE + " SELECT round(sum(tp / seen::DOUBLE * pos / np), 4) AS ap FROM w")
+def patch_average_precision(spark, d):
+    return ev.average_precision(fx.scored(spark, d)).select(F.round("ap", 4).alias("ap"))
+
+
+@query(CURVE + " SELECT round(sum((n - pos) * (tp - pos) + (n - pos) * pos / 2.0) / (sum(pos) * sum(n - pos)), 6) AS auc FROM w")
+def patch_roc_auc(spark, d):
+    return ev.roc_auc(fx.scored(spark, d)).select(F.round("auc", 6).alias("auc"))
+
+
+@query(sql("vectors", "scored") + """, k AS (SELECT count(*) FILTER (p >= 0.1 AND y = 1) AS tp, count(*) FILTER (p >= 0.1 AND y = 0) AS fp, count(*) FILTER (p < 0.1 AND y = 1) AS fn, count(*) AS n FROM scored)
+SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1, round((tp + fn) / n::DOUBLE, 6) AS prevalence FROM k""")
+def patch_prf_at_threshold(spark, d):
+    m = ev.at_threshold(fx.scored(spark, d), 0.1)
+    return m.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "prevalence")])
+
+
+@query(sql("vectors", "scored") + """, t AS (SELECT k, 0.01::DOUBLE + (0.99::DOUBLE - 0.01::DOUBLE) * k / 100 AS t FROM (SELECT unnest(range(101)) AS k)),
+m AS (SELECT k, t, count(*) FILTER (p >= t AND y = 1) AS tp, count(*) FILTER (p >= t AND y = 0) AS fp, count(*) FILTER (p < t AND y = 1) AS fn FROM scored, t GROUP BY k, t),
+f AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM m)
+SELECT round(t, 6) AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f1 DESC, k LIMIT 1""")
+def best_f1_threshold(spark, d):
+    return ev.best_f1(fx.scored(spark, d)).select(F.round("threshold", 6).alias("threshold"), F.round("f1", 6).alias("f1"))
+
+
+@query(CURVE + " SELECT p, round(tp / seen::DOUBLE, 6) AS precision, round(tp / np::DOUBLE, 6) AS recall FROM w")
+def pr_curve(spark, d):
+    return ev.pr_curve(fx.scored(spark, d)).select("p", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+FOLDS = sql("vectors", "scored") + ", f AS (SELECT (vec_id // 25) % 5 AS fold, avg(y) AS prevalence, coalesce(2.0 * count(*) FILTER (p >= 0.1 AND y = 1) / nullif(2 * count(*) FILTER (p >= 0.1 AND y = 1) + count(*) FILTER (p >= 0.1 AND y = 0) + count(*) FILTER (p < 0.1 AND y = 1), 0), 0) AS f1 FROM scored GROUP BY 1)"
+
+
+def folds(spark, d):
+    s = fx.scored(spark, d).withColumn("fold", F.expr("(vec_id div 25) % 5"))
+    hit = F.col("p") >= 0.1
+    g = s.groupBy("fold").agg(F.avg("y").alias("prevalence"), F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") == 0)).alias("fp"), F.count_if(~hit & (F.col("y") == 1)).alias("fn"))
+    return g.select("fold", "prevalence", ev.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+
+
+@query(FOLDS + " SELECT count(*) AS folds, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std, round(avg(prevalence), 6) AS prevalence_mean FROM f")
+def fold_mean_std(spark, d):
+    return folds(spark, d).agg(F.count("*").alias("folds"), F.round(F.avg("f1"), 6).alias("f1_mean"), F.round(F.stddev_pop("f1"), 6).alias("f1_std"), F.round(F.avg("prevalence"), 6).alias("prevalence_mean"))
+
+
+@query(CENTROIDS + ", s AS (SELECT vec_id, label, ref, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM vectors, cen), a AS (SELECT vec_id, label, arg_min(ref, d) AS c FROM s GROUP BY vec_id, label) SELECT label AS truth, c AS predicted, count(*) AS n FROM a GROUP BY 1, 2")
+def confusion_matrix(spark, d):
+    v = fx.vectors(spark, d)
+    c = vector.centroids(v, "label").withColumnRenamed("label", "cluster")
+    return ev.confusion(vector.nearest(v, c, "cluster", lambda x: squared_distance(F.col("v"), x), "min"), "label", "cluster")
+
+
+@query(FOLDS + " SELECT 'fold_' || fold AS run, 'patch' AS level, unnest(['prevalence', 'f1']) AS metric, round(unnest([prevalence, f1::DOUBLE]), 6) AS value FROM f")
+def metrics_long(spark, d):
+    m = ev.long_metrics(folds(spark, d).withColumn("fold", F.col("fold").cast("string")), F.concat(F.lit("fold_"), "fold"), "patch")
+    return m.withColumn("value", F.round("value", 6))
+
+
+@query(FOLDS + " SELECT 'fold_' || fold AS run, format('{:.3f}', f1::DOUBLE) AS f1, format('{:.3f}', prevalence) AS prevalence, 'n/a' AS ap FROM f")
+def run_comparison(spark, d):
+    m = ev.long_metrics(folds(spark, d).withColumn("fold", F.col("fold").cast("string")), F.concat(F.lit("fold_"), "fold"), "patch")
+    return ev.side_by_side(m, ["f1", "prevalence", "ap"])
+
+
+# --- picks and signals -------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1")
+def exemplar_per_class(spark, d):
+    key = F.struct((-F.col("l_extendedprice")).alias("neg"), "l_orderkey", "l_linenumber")
+    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min(key).alias("m"))
+    return g.select("l_returnflag", "m.l_orderkey", "m.l_linenumber", (-F.col("m.neg")).alias("l_extendedprice"))
+
+
+@query(sql("rects") + " SELECT tile, inst, conf FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY conf DESC, inst) AS k FROM rects WHERE NOT gt) WHERE k = 1")
+def best_per_image(spark, d):
+    r = fx.rects(spark, d).filter("not gt")
+    g = r.groupBy("tile").agg(F.min(F.struct((-F.col("conf")).alias("neg"), "inst")).alias("m"))
+    return g.select("tile", "m.inst", (-F.col("m.neg")).alias("conf"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, day(ts)::INT - 1 AS x, avg(value) AS value FROM events GROUP BY 1, 2), w AS (SELECT unnest([0, 4, 8, 12, 16, 20, 23]) AS w),
+m AS (SELECT user_id, w, avg(value) AS m FROM s, w WHERE x >= w AND x < w + 8 GROUP BY 1, 2)
+SELECT user_id, x::INT AS x, round(avg(m), 4) AS mean FROM m, (SELECT unnest(range(31)) AS x) WHERE x >= w AND x < w + 8 GROUP BY 1, 2"""
+)
+def sliding_window_mean(spark, d):
+    s = table(spark, d, "events").groupBy("user_id", (F.dayofmonth("ts") - 1).alias("x")).agg(F.avg("value").alias("value"))
+    return grid.sliding_mean(s, "user_id", 31, 8, 4).select("user_id", "x", F.round("mean", 4).alias("mean"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
