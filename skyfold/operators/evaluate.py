@@ -117,21 +117,25 @@ def greedy_hits(preds: DataFrame, pairs: DataFrame, steps=IOU_STEPS) -> DataFram
     return tiles.mapInPandas(run, f"tile {kind['tile']}, pred {kind['pred']}, conf double, hits array<boolean>")
 
 
-def interpolated_ap(hits: DataFrame, n_gt: int, points: int = 101) -> DataFrame:
-    """(threshold?, ap): mean over recall points of the best precision at that recall or more; rows (tile, pred, conf, hit).
+def interpolated_ap(hits: DataFrame, n_gt: int, points: int = 101, by: tuple = ()) -> DataFrame:
+    """(by…, ap): mean over recall points of the best precision at that recall or more; rows (by…, tile, pred, conf, hit).
 
-    Ties in confidence go by tile and prediction.  NaN without true instances, 0
-    without predictions.
+    Ties in confidence go by tile and prediction.  NaN without true instances; 0
+    without predictions, where there are no groups.
     """
+    spark = hits.sparkSession
+    groups = hits.select(*by).distinct() if by else spark.range(1).select()
     if not n_gt:
-        return hits.sparkSession.createDataFrame([(float("nan"),)], "ap double")
+        return groups.withColumn("ap", F.lit(float("nan")))
     one = hits.withColumn("h", F.col("hit").cast("long")).withColumn("one", F.lit(1).cast("long"))
-    run = running_sums(one, [F.desc("conf"), F.asc("tile"), F.asc("pred")], tp="h", seen="one")
-    # The recall points that a row is the first to reach get its precision at least.
-    at = run.groupBy(F.expr(f"int(tp * {points - 1} div {int(n_gt)})").alias("q")).agg(F.max(F.col("tp") / F.col("seen")).alias("prec"))
-    best = F.max("prec").over(Window.orderBy(F.desc("q")))  # at most `points` rows
-    env = hits.sparkSession.range(points).select(F.col("id").cast("int").alias("q")).join(at, "q", "left").withColumn("env", F.coalesce(best, F.lit(0.0)))
-    return env.agg(F.avg("env").alias("ap"))
+    run = running_sums(one, [F.desc("conf"), F.asc("tile"), F.asc("pred")], by, tp="h", seen="one")
+    # A row counts for the highest recall point that it reaches, and so for all below.
+    q = F.expr(f"int(tp * {points - 1} div {int(n_gt)})")
+    at = run.groupBy(*by, q.alias("q")).agg(F.max(F.col("tp") / F.col("seen")).alias("prec"))
+    best = F.max("prec").over(Window.partitionBy(*by).orderBy(F.desc("q")))  # at most `points` rows a group
+    every = groups.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    env = every.join(at, [*by, "q"], "left").withColumn("env", F.coalesce(best, F.lit(0.0)))
+    return env.groupBy(*by).agg(F.avg("env").alias("ap"))
 
 
 def confusion(rows: DataFrame, y: str, yhat: str) -> DataFrame:

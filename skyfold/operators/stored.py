@@ -27,21 +27,21 @@ def ordered_parts(df: DataFrame, *order: Column) -> DataFrame:
     return stored(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
 
 
-def running_sums(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
-    """``df`` with, for each name=column, the sum of the column over the rows up to here in the order.
+def running_sums(df: DataFrame, order: list[Column], by: tuple = (), **sums: str) -> DataFrame:
+    """``df`` with, for each name=column, the sum of the column over the rows of its group up to here in the order.
 
-    Each range is summed on its own; the sums of the ranges before, a row for
-    each range, are added.
+    Each range of (by, order) is summed on its own; the sums of the ranges
+    before, a row for each range and group, are added.
     """
-    parts = ordered_parts(df, *order)
-    here = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = parts.groupBy("__p").agg(*[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__p", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__t_{k}") for k in sums])
+    parts = ordered_parts(df, *[F.col(c) for c in by], *order)
+    here = Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = parts.groupBy("__p", *by).agg(*[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__p", *by, *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__t_{k}") for k in sums])
     out = parts
     for k, c in sums.items():
         out = out.withColumn(k, F.sum(c).over(here))
-    out = out.join(F.broadcast(totals), "__p")
+    out = out.join(totals, ["__p", *by])
     for k in sums:
         out = out.withColumn(k, F.col(k) + F.col(f"__t_{k}"))
     return out.drop("__p", *[f"__t_{k}" for k in sums])

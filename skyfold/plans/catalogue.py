@@ -8,6 +8,7 @@ from skyfold.functions import geo, names
 from skyfold.functions.vectors import cosine, dot, squared_distance
 from skyfold.operators import evaluate as ev
 from skyfold.operators import grid, tiling, triage, vector
+from skyfold.operators.stored import stored
 from skyfold.plans import fixtures as fx
 from skyfold.plans.fixtures import GRID, sql, table
 
@@ -363,14 +364,9 @@ def instance_scores(pred, conf, gt):
     pairs = ev.instance_pairs(pred, gt)
     hits = ev.greedy_hits(conf, pairs)
     n_gt = gt.select("tile", "inst").distinct().count()
-    from skyfold.operators.stored import stored
-
-    hits = stored(hits)
-    out = None
-    for k, t in enumerate(ev.IOU_STEPS):
-        one = ev.interpolated_ap(hits.select("tile", "pred", "conf", F.col("hits")[k].alias("hit")), n_gt).select(F.lit(t).alias("iou"), F.round("ap", 6).alias("ap"), F.lit(n_gt).cast("long").alias("n_gt"))
-        out = one if out is None else out.union(one)
-    return out
+    each = hits.select("tile", "pred", "conf", F.posexplode("hits").alias("k", "hit"))
+    ap = ev.interpolated_ap(each, n_gt, by=("k",))
+    return ap.select(F.element_at(F.array(*[F.lit(t) for t in ev.IOU_STEPS]), F.col("k") + 1).alias("iou"), F.round("ap", 6).alias("ap"), F.lit(n_gt).cast("long").alias("n_gt"))
 
 
 @query()
@@ -384,7 +380,7 @@ def native_instance_ap(spark, d):
 def component_instances(cells):
     """Components of at least 8 cells after closing and opening, as instances."""
     m = grid.opening(grid.closing(cells.select("tile", "r", "c").distinct(), 1, GRID), 1, GRID)
-    c = grid.cells_of_runs(grid.components(m)).withColumnRenamed("component", "inst")
+    c = stored(grid.cells_of_runs(grid.components(m)).withColumnRenamed("component", "inst"))
     big = c.groupBy("tile", "inst").agg(F.count("*").alias("n")).filter("n >= 8")
     return c.join(big.select("tile", "inst"), ["tile", "inst"]), big
 
@@ -638,11 +634,11 @@ def best_per_image(spark, d):
 @query(
     """WITH s AS (SELECT user_id, day(ts)::INT - 1 AS x, avg(value) AS value FROM events GROUP BY 1, 2), w AS (SELECT unnest([0, 4, 8, 12, 16, 20, 23]) AS w),
 m AS (SELECT user_id, w, avg(value) AS m FROM s, w WHERE x >= w AND x < w + 8 GROUP BY 1, 2)
-SELECT user_id, x::INT AS x, round(avg(m), 4) AS mean FROM m, (SELECT unnest(range(31)) AS x) WHERE x >= w AND x < w + 8 GROUP BY 1, 2"""
+SELECT user_id, x::INT AS x, round(avg(m), 12) AS mean FROM m, (SELECT unnest(range(31)) AS x) WHERE x >= w AND x < w + 8 GROUP BY 1, 2"""
 )
 def sliding_window_mean(spark, d):
     s = table(spark, d, "events").groupBy("user_id", (F.dayofmonth("ts") - 1).alias("x")).agg(F.avg("value").alias("value"))
-    return grid.sliding_mean(s, "user_id", 31, 8, 4).select("user_id", "x", F.round("mean", 4).alias("mean"))
+    return grid.sliding_mean(s, "user_id", 31, 8, 4).select("user_id", "x", F.round("mean", 12).alias("mean"))
 
 
 def queries() -> dict:
