@@ -35,13 +35,21 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyfold-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    release(spark)
+    df.write.option("compression", "zstd").parquet(path)
     del df
-    # Spark deletes the shuffle files of a finished step once the driver has collected
-    # its plan; without this they stay on the executors' disks for the whole job.
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect the plans of finished steps on the driver, so that Spark deletes their shuffle files.
+
+    Without it they stay on the executors' disks until the driver happens to
+    collect its garbage.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def bound_batches(spark: SparkSession) -> None:
