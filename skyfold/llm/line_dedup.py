@@ -23,7 +23,8 @@ Only DataFrame expressions run on the executors.
 Defined results: blank lines (without a word) always stay; a null text stays
 null; a text whose lines all go becomes empty; line feeds separate lines, so a
 text's kept lines are joined by line feeds; of rows that repeat, all keep what
-the first keeps; a null doc_id comes before all others; an empty table gives an
+the first keeps; a null doc_id comes before all others and is one document with
+the least long; an empty table gives an
 empty table.
 """
 
@@ -39,6 +40,8 @@ SHINGLE = 5
 #: The similarity, as a fraction.
 NUM, DEN = 3, 4
 BUCKETS = 1 << 16
+#: Stands for a null doc_id, so that keys compare by plain equality and one shuffle serves grouping and join.
+LEAST_ID = -(2**63)
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -94,8 +97,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (xd, xn earlier; yd, yn) -> (doc_id, th, line_no) of the later lines that match."""
     x = sets.select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xn"), F.col("tokens").alias("p"))
     y = sets.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yn"), F.col("th"), F.col("tokens").alias("q"))
-    both = pairs.join(y, pairs.yd.eqNullSafe(y.yd) & (pairs.yn == y.yn)).select(pairs.xd, pairs.xn, pairs.yd, pairs.yn, "th", "q")
-    both = both.join(x, both.xd.eqNullSafe(x.xd) & (both.xn == x.xn)).select("yd", "yn", "th", "p", "q")
+    both = pairs.join(y, ["yd", "yn"]).join(x, ["xd", "xn"]).select("yd", "yn", "th", "p", "q")
     shared = F.size(F.array_intersect("p", "q"))
     return both.filter(enough(shared, F.size("p"), F.size("q"))).select(F.col("yd").alias("doc_id"), "th", F.col("yn").alias("line_no")).distinct()
 
@@ -106,7 +108,7 @@ def similar_later_lines(lines: DataFrame) -> DataFrame:
     counts = F.from_json(F.lit("[" + ",".join(map(str, ranks)) + "]"), "array<bigint>")
     posted = lines.select("doc_id", "line_no", _ordered(line_tokens(F.col("line")), counts).alias("t"))
     posted = posted.select("doc_id", "line_no", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, prefix_length(F.size("t")))).alias("pos", "token"))
-    order = Window.partitionBy("token").orderBy(F.asc_nulls_first("doc_id"), "line_no")
+    order = Window.partitionBy("token").orderBy("doc_id", "line_no")
     here = F.struct("doc_id", "line_no", "n", "pos")
     met = posted.select("*", F.first(here).over(order).alias("first"), F.lag(here).over(order).alias("prev"), F.lead("line_no").over(order).alias("next"))
     met = materialise(met.filter(F.col("prev").isNotNull() | F.col("next").isNotNull()).drop("next"))
@@ -116,19 +118,18 @@ def similar_later_lines(lines: DataFrame) -> DataFrame:
         return enough(F.least(n - pos, m - other), n, m) & (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
 
     near = both.filter(reach(F.col("n"), F.col("pos"), F.col("x.n"), F.col("x.pos")))
-    near = near.filter(~(F.col("x.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("x.line_no") == F.col("line_no"))))
+    near = near.filter((F.col("x.doc_id") != F.col("doc_id")) | (F.col("x.line_no") != F.col("line_no")))
     pairs = near.select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xn"), F.col("doc_id").alias("yd"), F.col("line_no").alias("yn")).distinct()
     pairs = materialise(pairs)
     # Only lines of a proposed pair, or with something left to compare, are needed in full.
     ends = met.select("doc_id", "line_no").distinct()
-    sets = lines.join(ends.withColumnsRenamed({"doc_id": "ed", "line_no": "en"}), F.col("doc_id").eqNullSafe(F.col("ed")) & (F.col("line_no") == F.col("en")), "left_semi")
+    sets = lines.join(ends, ["doc_id", "line_no"], "left_semi")
     sets = materialise(sets.select("doc_id", "th", "line_no", line_tokens(F.col("line")).alias("tokens")))
     gone = materialise(verified(pairs, sets))
-    found = gone.select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gn"))
     left = met.filter("prev is not null").select("doc_id", "line_no", "n", "pos", "token")
-    left = left.join(found, left.doc_id.eqNullSafe(found.gd) & (left.line_no == found.gn), "left_anti")
+    left = left.join(gone.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
     x, y = met.alias("x"), left.alias("y")
-    earlier = (F.coalesce("x.doc_id", F.lit(-(2**63))) < F.coalesce("y.doc_id", F.lit(-(2**63)))) | (F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no")))
+    earlier = (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no")))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & earlier & reach(F.col("y.n"), F.col("y.pos"), F.col("x.n"), F.col("x.pos")))
     rest = rest.select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xn"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yn")).distinct()
     return gone.union(verified(materialise(rest), sets)).distinct()
@@ -137,7 +138,7 @@ def similar_later_lines(lines: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with their kept text, n_lines and n_removed; columns of these names are replaced."""
     keep = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
-    own = docs.select("text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("doc_id"))
+    own = docs.select("text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"))
     source = own.select("doc_id", "text")
     lines = materialise(first_lines(source))
     gone = materialise(similar_later_lines(lines))
@@ -148,9 +149,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("line_no", "keep", "line"))).alias("l"))
     stay = F.filter("l", lambda x, i: (x["keep"] == 1) & ~((i > 0) & F.coalesce((F.try_element_at("l", i)["line_no"] == x["line_no"]) & (F.try_element_at("l", i)["keep"] == 0), F.lit(False))))
     texts = texts.withColumn("stay", stay)
-    texts = texts.select(F.col("doc_id").alias("td"), F.col("th").alias("tt"), F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("kept"), F.size("stay").alias("n_kept"))
+    texts = texts.select("doc_id", "th", F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("kept"), F.size("stay").alias("n_kept"))
     d = own.withColumn("th", F.xxhash64("text")).withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")).withColumn("null_text", F.col("text").isNull()).drop("text")
-    d = d.join(texts, d.doc_id.eqNullSafe(F.col("td")) & (d.th == F.col("tt")), "left")
+    d = d.join(texts, ["doc_id", "th"], "left")
     text = F.when(F.col("null_text"), F.lit(None).cast("string")).otherwise(F.coalesce("kept", F.lit("")))
     n_removed = (F.col("n_lines") - F.coalesce("n_kept", F.lit(0))).cast("long")
     return d.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], text.alias("text"), "n_lines", n_removed.alias("n_removed"))
