@@ -48,6 +48,7 @@ def release(spark: SparkSession) -> None:
     Without it they stay on the executors' disks until the driver happens to
     collect its garbage.
     """
+    spark.range(1).count()  # the last plan is held until another one runs
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
