@@ -64,16 +64,19 @@ def segments(texts: list, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.
     m = sliding_min(textnp.grams(w, gram), width - gram + 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     n = len(m)
-    within = owner[:n] == owner[width - 1 : width - 1 + n] if n else np.zeros(0, bool)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return {k: none for k in ("text", "start", "windows", "key", "c1", "c2")}
+    within = owner[:n] == owner[width - 1 : width - 1 + n]
     new = np.ones(n, bool)
     new[1:] = (m[1:] != m[:-1]) | (owner[1:n] != owner[: n - 1]) | ~within[:-1]
     first = np.flatnonzero(new & within)
     # A segment ends where the next begins or the text has no more windows.
-    stop = at[1:][owner[first]] - width + 1 if n else first
+    stop = at[1:][owner[first]] - width + 1
     nxt = np.append(first[1:], n)
     end = np.minimum(nxt, stop)
     last = end + width - 1
-    out = {"text": owner[first], "start": first - at[owner[first]] if n else first, "windows": end - first, "key": m[first].view(np.int64)}
+    out = {"text": owner[first], "start": first - at[owner[first]], "windows": end - first, "key": m[first].view(np.int64)}
     power, inverse = textnp._powers(len(w) + 1)
     for name, v in (("c1", w), ("c2", textnp.mix64(w ^ U(0x5851F42D4C957F2D)))):
         sums = np.zeros(len(w) + 1, U)
