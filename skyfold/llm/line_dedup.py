@@ -45,22 +45,40 @@ LEAST_ID = -(2**63)
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def word_hashes(line: Column) -> Column:
+    """The hashes of the words of a line that has one; a regular expression runs only on lines that aren't words between single spaces."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for space in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd |= line.contains(space)
+    even = F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+    return F.transform(F.split(even, " "), lambda w: F.xxhash64(w))
+
+
+def last_start(hashes: Column) -> Column:
+    return F.greatest(F.size(hashes) - SHINGLE, F.lit(0))
+
+
+def shingle(hashes: Column, i: Column) -> Column:
+    """The hash of the shingle at ``i``; a shorter line's only one ends in nulls, which leave a hash as it is."""
+    return F.xxhash64(*[F.get(hashes, i + j) for j in range(SHINGLE)])
+
+
 def line_tokens(line: Column) -> Column:
     """The distinct hashes of the line's shingles."""
-    hashes = F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
     # A list of one list binds the word hashes to a name.
-    each = F.transform(
-        F.array(hashes),
-        lambda h: F.when(
-            F.size(h) >= SHINGLE,
-            F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[h[i + j] for j in range(SHINGLE)])),
-        ).otherwise(F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " ")))),
-    )
+    each = F.transform(F.array(word_hashes(line)), lambda h: F.transform(F.sequence(F.lit(0), last_start(h)), lambda i: shingle(h, i)))
     return F.array_distinct(each[0])
 
 
+def all_tokens(lines: DataFrame) -> DataFrame:
+    """``t``: the shingle hashes of all lines, those that repeat within a line included; exploded places keep the hashing in generated code."""
+    hashed = lines.select(word_hashes(F.col("line")).alias("h"))
+    placed = hashed.select("h", F.explode(F.sequence(F.lit(0), last_start(F.col("h")))).alias("i"))
+    return placed.select(shingle(F.col("h"), F.col("i")).alias("t"))
+
+
 def bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+    return token.bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def prefix_length(n: Column) -> Column:
@@ -69,7 +87,8 @@ def prefix_length(n: Column) -> Column:
 
 def _ordered(tokens: Column, counts: Column) -> Column:
     """Tokens by rarity: one long holds a bucket's rank and the token's other bits, and is as good as the token."""
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.element_at(counts, bucket(t) + 1), 47).bitwiseXOR(F.shiftrightunsigned(t, 17))))
+    rank = lambda t: F.coalesce(F.get(counts, bucket(t)), F.lit(0).cast("long"))  # noqa: E731 - never null, so that longs are sorted
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(rank(t), 47).bitwiseXOR(F.shiftrightunsigned(t, 17))))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
@@ -82,7 +101,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
 def token_counts(lines: DataFrame) -> DataFrame:
     """One row with ``ranks``: for each bucket the rank (from 0, below 2**16) of its token count."""
-    counted = lines.select(F.explode(line_tokens(F.col("line"))).alias("t")).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
+    counted = all_tokens(lines).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b"))
     full = every.join(counted, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = full.withColumn("rank", (F.dense_rank().over(Window.orderBy("n")) - 1).cast("long"))  # 2**16 rows
