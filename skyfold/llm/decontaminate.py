@@ -2,14 +2,22 @@
 
 Plain MinHash cannot see a 40-word item in a 20,000-word document: their Jaccard
 similarity is too small for any number of slots.  So both sides are partitioned
-by size.  An item of up to L = 16 * 2**c shingles belongs to class c, and for
-that class a document is the set of its windows of 2L shingles at every L: a run
-of L shingles lies whole in one of them, which keeps the similarity of item and
-window above 0.17 at 75 % containment.  A window's MinHash comes from the
-minima of its two halves, and those of the next class from the halves below, so
-all classes cost one pass over the shingles.  Agreement in any of ``SLOTS``
-slots makes a candidate (a miss has probability 0.83**48 = 0.0001 at worst); the
-exact containment of the item's shingle set in the whole document confirms it.
+by size.  An item of more than 16 shingles, up to L = 16 * 2**c, belongs to class
+c, and for that class a document is the set of its windows of 2L shingles at
+every L: a run of L shingles lies whole in one of them, which keeps the
+similarity of item and window above 0.17 at 75 % containment in one run.  A
+window's MinHash comes from the minima of its two halves, and those of the next
+class from the halves below, so all classes cost one pass over the shingles.
+Agreement in any of ``SLOTS`` slots makes a candidate (a miss has probability
+0.83**48 = 0.0001 at worst; more where the shared shingles lie scattered over the
+document).
+
+Items of up to 16 shingles are too small for such windows and are found exactly:
+of n shingles, one of any floor(n / 4) + 1 is in every document that holds 75 %
+of them, so those rarest among the items are looked up by their hashes.
+
+The exact containment of the item's shingle set in the whole document confirms
+each candidate.
 
 Documents are streamed and never shuffled.  Items go out in blocks of
 ``ITEMS_PER_BLOCK``, each broadcast and met by all documents, whatever their
@@ -46,19 +54,53 @@ def _multipliers() -> np.ndarray:
 
 
 def item_index(items: list) -> dict:
-    """(item_id, text) rows -> their sets and, for each size class and slot, the sorted minima and whose they are."""
+    """(item_id, text) rows -> their sets, the sorted keys of the small ones and whose they are, and the same of the minima of each size class and slot."""
     sets = textnp.shingle_sets([t for _, t in items], SHINGLE)
     by_class: dict[int, list[int]] = {}
+    small = []
     for i, s in enumerate(sets):
-        if len(s):
-            by_class.setdefault(max(0, int(np.ceil(np.log2(len(s) / SMALLEST)))) if len(s) > SMALLEST else 0, []).append(i)
+        if len(s) > SMALLEST:
+            by_class.setdefault(int(np.ceil(np.log2(len(s) / SMALLEST))), []).append(i)
+        elif len(s):
+            small.append(i)
     mult = _multipliers()
     classes = {}
     for c, own in by_class.items():
         minima = np.stack([(sets[i][:, None] * mult).min(axis=0) for i in own])
         order = np.argsort(minima, axis=0, kind="stable")
         classes[c] = (np.take_along_axis(minima, order, 0), np.array(own)[order])
-    return {"ids": [i for i, _ in items], "sets": sets, "classes": classes}
+    return {"ids": [i for i, _ in items], "sets": sets, "keys": _small_keys(sets, small), "classes": classes}
+
+
+def _small_keys(sets: list, small: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each small item as many of its shingles as can't all be missing from a document that holds it, sorted, and whose they are."""
+    if not small:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    distinct, n = np.unique(np.concatenate([sets[i] for i in small]), return_counts=True)
+    keys = []
+    for i in small:
+        s = sets[i]
+        most_missing = len(s) * (DENOMINATOR - NUMERATOR) // DENOMINATOR
+        keys.append(s[np.argsort(n[np.searchsorted(distinct, s)], kind="stable")[: most_missing + 1]])
+    of = np.repeat(small, [len(k) for k in keys])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], of[order]
+
+
+def _small_candidates(h: np.ndarray, owner: np.ndarray, index: dict) -> set:
+    """(document, item) pairs where a key of a small item is among the document's shingles."""
+    keys, items = index["keys"]
+    if not len(h) or not len(keys):
+        return set()
+    low = np.searchsorted(keys, h)
+    hits = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h)
+    # A shingle that a document repeats counts once.
+    where = np.unique(owner[hits] * len(keys) + low[hits])
+    doc, low = where // len(keys), where % len(keys)
+    n = np.searchsorted(keys, keys[low], "right") - low
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    return set(zip(np.repeat(doc, n).tolist(), items[at].tolist()))
 
 
 def _candidates(h: np.ndarray, owner: np.ndarray, index: dict) -> set:
@@ -109,7 +151,8 @@ def contained(texts: list, index: dict) -> list[tuple[int, int, int, int]]:
         owners.append(np.full(len(part), d))
     if not parts:
         return out
-    near = _candidates(np.concatenate(parts), np.concatenate(owners), index)
+    h, owner = np.concatenate(parts), np.concatenate(owners)
+    near = _candidates(h, owner, index) | _small_candidates(h, owner, index)
     own: dict[int, np.ndarray] = {}
     for d, i in sorted(near):
         if d not in own:

@@ -223,6 +223,26 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sorted(decontaminate.find_items(d, b).collect()) == whole
 
 
+def test_short_items_against_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    long = [[rng.choice(vocab) for _ in range(rng.randint(300, 900))] for _ in range(30)]
+    items = []
+    for i in range(600):
+        w, n = rng.choice(long), rng.choice([5, 5, 6, 7, 8, 9, 10, 12, 16, 20])
+        a = rng.randrange(len(w) - n)
+        q = w[a : a + n]
+        if rng.random() < 0.4:
+            q[rng.choice([0, -1, n // 2])] = "other"
+        items.append((i, " ".join(q).upper() if i % 7 == 0 else " ".join(q)))
+    items += [(1000, "two words"), (1001, " "), (1002, None), (1003, items[0][1])]
+    rows = [(d, " ".join(w)) for d, w in enumerate(long)] + [(100, "Two words"), (101, None), (102, "x " * 50 + items[1][1])]
+    held = {d: shingles(t) for d, t in rows}
+    want = {(d, i, len(q), len(q & s)) for i, q in ((i, shingles(t)) for i, t in items) for d, s in held.items() if q and 100 * len(q & s) >= 75 * len(q)}
+    got = decontaminate.find_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 400 and (100, 1000, 1, 1) in want
+
+
 def brute_measures(x):
     w = words(x)
     c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
