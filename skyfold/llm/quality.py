@@ -30,9 +30,13 @@ BELIEF_GOOD, BELIEF_BAD, BELIEF_WEIGHT = (0.001, 0.599, 0.4), (0.3, 0.4, 0.3), 0
 #: The share of good documents before the votes.  It is given, not estimated: with few
 #: votes for bad, an estimate drifts to one class.
 GOOD_SHARE = 0.9
-#: No rule is believed to call more of the good documents bad than this: the rules are
-#: written to be precise, and junk of one kind looks good to the rules for the others.
-MOST_FALSE_ALARMS = 0.001
+#: How sure the belief is that a rule calls few good documents bad, by rule of ``votes``: worth
+#: so many documents for each counted.  The rules with one side look for what is hardly found in
+#: good text, and votes alone can't tell junk of their kind, which looks good to the other rules,
+#: from their false alarms.  Stops and distinct words depend on genre and script; their false
+#: alarms are left to the counts.
+SURE, UNSURE = 3.0, BELIEF_WEIGHT
+FALSE_ALARM_WEIGHTS = (SURE, SURE, SURE, SURE, SURE, UNSURE, SURE, UNSURE)
 KEEP_AT = 0.5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -118,13 +122,14 @@ def votes(m: dict[str, Column]) -> list[Column]:
     ]
 
 
-def label_model(counted: DataFrame, n_rules: int, rounds: int = EM_ROUNDS) -> DataFrame:
+def label_model(counted: DataFrame, sure: tuple[float, ...], rounds: int = EM_ROUNDS) -> DataFrame:
     """(votes array<int>, n) -> (votes, quality): the posterior that documents with these votes are good.
 
     Dawid-Skene (maximum a posteriori) with two classes and three votes a rule.  It starts from good
-    for vectors without a bad vote and bad for the others.
+    for vectors without a bad vote and bad for the others.  ``sure`` has the weight of the belief in
+    each rule's false-alarm rate, which is estimated like all others.
     """
-    cells = 3 * n_rules
+    cells = 3 * len(sure)
     # A vector as the cells that it sets: rule r voting v sets cell 3r + v + 1.
     one = counted.agg(F.collect_list(F.struct("votes", F.transform("votes", lambda v, i: i * 3 + v + 1).alias("cells"), F.col("n").cast("double").alias("n"))).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total"))
     first = F.transform("rows", lambda r: F.when(F.array_contains(r["votes"], -1), F.lit(0.02)).otherwise(F.lit(0.98)))
@@ -133,13 +138,20 @@ def label_model(counted: DataFrame, n_rules: int, rounds: int = EM_ROUNDS) -> Da
         """Log of the share of each vote in a class, by cell, and last of the class."""
         belief = F.array(*[F.lit(x) for x in (BELIEF_GOOD if sign > 0 else BELIEF_BAD)])
         weight = F.col("total") * BELIEF_WEIGHT + 1
+        alarm_weight = F.array(*[F.col("total") * (w if sign > 0 else BELIEF_WEIGHT) + 1 for w in sure for _ in range(3)])
         share = lambda k: good[k] if sign > 0 else 1 - good[k]
         mass = F.aggregate(rows, F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s")), lambda a, r: F.struct((a["k"] + 1).alias("k"), (a["s"] + r["n"] * share(a["k"])).alias("s")), lambda a: a["s"])
         in_cell = lambda c: F.aggregate(rows, F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s")), lambda a, r: F.struct((a["k"] + 1).alias("k"), (a["s"] + F.when(F.array_contains(r["cells"], c), r["n"] * share(a["k"])).otherwise(0.0)).alias("s")), lambda a: a["s"])
-        of_class = F.array(mass)
-        share_of = lambda c: (in_cell(c) + weight * F.element_at(belief, c % 3 + 1)) / (of_class[0] + weight)
-        bounded = lambda c: F.when((F.lit(sign) > 0) & (c % 3 == 0), F.least(share_of(c), F.lit(MOST_FALSE_ALARMS))).otherwise(share_of(c))
-        cell_logs = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.log(bounded(c)))
+        counts = F.array(F.struct(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), in_cell).alias("n"), mass.alias("all")))
+
+        def share_of(x, c):
+            """The share of bad votes first, and of the rest what the other two votes have."""
+            bad = x["n"][c - c % 3]
+            bad_share = (bad + alarm_weight[c] * belief[0]) / (x["all"] + alarm_weight[c])
+            rest = (x["n"][c] + weight * belief[c % 3]) / (x["all"] - bad + weight * (1 - belief[0]))
+            return F.when(c % 3 == 0, bad_share).otherwise((1 - bad_share) * rest)
+
+        cell_logs = F.flatten(F.transform(counts, lambda x: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.log(share_of(x, c)))))
         return F.array_append(cell_logs, F.log(F.lit(GOOD_SHARE if sign > 0 else 1 - GOOD_SHARE)))
 
     def posterior(rows: Column, good: Column) -> Column:
@@ -159,7 +171,7 @@ def judge(measured: DataFrame) -> DataFrame:
     d = measured.withColumn("__votes", F.array(*ballot))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
     counted = d.filter(~F.col("base_failed")).groupBy(F.col("__votes").alias("votes")).agg(F.count("*").alias("n"))
-    model = materialise(label_model(counted, len(ballot)))  # at most 3 ** 8 rows
+    model = materialise(label_model(counted, FALSE_ALARM_WEIGHTS))  # at most 3 ** 8 rows
     d = d.join(F.broadcast(model), F.col("__votes") == F.col("votes"), "left").drop("votes", "__votes")
     return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("quality") >= KEEP_AT, F.lit(False)))
 

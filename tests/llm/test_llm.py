@@ -269,6 +269,20 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean([r.kept == (truth[r.doc_id] == 1) for r in got]) > 0.98
 
 
+def test_one_bad_vote_is_weighed(spark):
+    rng = random.Random(3)
+    vocab = [f"word{i}" for i in range(500)]
+    plain = lambda n: [rng.choice(vocab) for _ in range(n)]
+    stopped = lambda w: [x + "." if i % 9 == 8 else x for i, x in enumerate(w)]
+    texts = [("good", stopped(plain(90))) for _ in range(600)] + [("poem", plain(90)) for _ in range(30)]
+    texts += [("symbols", [x + " #$" if i % 2 else x for i, x in enumerate(stopped(plain(90)))]) for _ in range(30)]
+    texts += [("shouts", [x + "!" for x in plain(8)] * 8) for _ in range(20)]
+    rows = [(i, k, " ".join(w)) for i, (k, w) in enumerate(texts)]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, kind string, text string")).collect()}
+    share = lambda kind: np.mean([got[i] for i, k, _ in rows if k == kind])
+    assert [share(k) for k in ("good", "poem", "symbols", "shouts")] == [1, 1, 0, 0]
+
+
 def test_mixing(spark):
     d = docs(spark)
     out = mixing.mix_sources(d).collect()
