@@ -6,7 +6,10 @@ and half as many to its grandparent: one, one for each comma, and one for each
 its text that stands in links.  The best element is the article; siblings that
 score a fifth of it, or are long paragraphs with few links, belong to it.  The
 blocks of these, in page order, make the text; what is never content (scripts,
-menus, forms, asides and the like, by tag, role or class name) is left out.
+menus, forms, asides and the like, by tag, role or class name) is left out.  A
+class name leaves out nothing that holds most of the text of the page's articles,
+or of its paragraphs if it has no article, and counts for nothing where the
+text would be empty.
 
 Defined results: a null or empty page gives an empty text; without paragraphs
 the best element is the body; unclosed tags are closed where HTML closes them;
@@ -34,7 +37,9 @@ PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 #: A new element of the first kind closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar|widget|footer|header|masthead|comments?|disqus|replies|respond|share|social|related|recommend\w*|newsletter|subscribe|subscription|login|signup|pagination|pager|skip|toolbar|tags?)(?:$|[\s_-])", re.I)
+UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar|widget|footer|header|masthead|comments?|disqus|replies|respond|share|social|related|recommend\w*|newsletter|subscribe|subscription|login|signup|pagination|pager|skip|toolbar|tags?)(?=$|[\s_-])", re.I)
+#: Names of what readers write: it can be longer than the article.
+REPLIES = frozenset("comment comments disqus replies respond".split())
 SIBLING_SHARE = 0.2
 SPACE = re.compile(r"\s+")
 #: Elements nested deeper than this are read as children of the one at this depth.
@@ -42,10 +47,10 @@ DEEPEST = 400
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "skip", "points", "chars", "link_chars", "commas")
+    __slots__ = ("tag", "parent", "children", "skip", "names", "points", "chars", "link_chars", "commas")
 
-    def __init__(self, tag: str, parent, skip: bool):
-        self.tag, self.parent, self.children, self.skip = tag, parent, [], skip
+    def __init__(self, tag: str, parent, skip: bool, names: frozenset = frozenset()):
+        self.tag, self.parent, self.children, self.skip, self.names = tag, parent, [], skip, names
         self.points, self.chars, self.link_chars, self.commas = 0.0, 0, 0, 0
 
 
@@ -65,12 +70,16 @@ class Tree(HTMLParser):
                 if any(e.tag == other for e in self.open[-6:]):
                     self._close(other, {"ul", "ol", "dl", "table", "select"})
         named = dict(attrs)
-        unlikely = tag not in ("body", "html", "article", "main") and UNLIKELY.search(f"{named.get('class') or ''} {named.get('id') or ''}")
+        names = frozenset()
+        if tag not in ("body", "html", "article", "main") and ("class" in named or "id" in named):
+            names = frozenset(x.strip().strip("_-").lower() for x in UNLIKELY.findall(f"{named.get('class') or ''} {named.get('id') or ''}"))
+            if names == {"header"} and any(e.tag in ("article", "main") for e in self.open):
+                names = frozenset()
         hidden = "hidden" in named or named.get("aria-hidden") == "true"
         own_header = tag == "header" and any(e.tag in ("article", "main") for e in self.open)
-        skip = (tag in NEVER and not own_header) or (named.get("role") or "") in NEVER_ROLES or bool(unlikely) or hidden
+        skip = (tag in NEVER and not own_header) or (named.get("role") or "") in NEVER_ROLES or hidden
         parent = self.open[-1]
-        e = Element(tag, parent, skip)
+        e = Element(tag, parent, skip, names)
         parent.children.append(e)
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(e)
@@ -104,6 +113,34 @@ def parse(html: str) -> Element:
     return tree.root
 
 
+def _skip_by_name(root: Element) -> None:
+    """Skip elements with an unlikely class or id but those that hold most of the text that matters."""
+    order, stack = [], [(root, False, False)]
+    own: dict[int, list[int]] = {}
+    while stack:
+        e, article, paragraph = stack.pop()
+        article, paragraph = article or e.tag in ("article", "main"), paragraph or e.tag in ("p", "pre", "blockquote")
+        order.append(e)
+        n = sum(len(c.strip()) for c in e.children if isinstance(c, str)) if article or paragraph else 0
+        own[id(e)] = [n * article, n * paragraph]
+        # Links and what is never content don't count.
+        stack.extend((c, article, paragraph) for c in e.children if not isinstance(c, str) and not c.skip and c.tag != "a")
+    for e in reversed(order):
+        if e.parent is not None:
+            above, mine = own[id(e.parent)], own[id(e)]
+            above[0] += mine[0]
+            above[1] += mine[1]
+    kind = 0 if own[id(root)][0] else 1
+    total = own[id(root)][kind]
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        if e.names:
+            most = 2 * own.get(id(e), (0, 0))[kind] > total
+            e.skip = e.skip or not most or (kind == 1 and e.names <= REPLIES)
+        stack.extend(c for c in e.children if not isinstance(c, str))
+
+
 def _measure(root: Element) -> list[Element]:
     """Characters, link characters and commas below each element, and all elements, parents first."""
     order, stack = [], [(root, False, False)]
@@ -176,7 +213,12 @@ def _blocks(e: Element, out: list[str]) -> None:
 def main_text(html) -> str:
     if not isinstance(html, str) or not html:
         return ""
-    root = parse(html)
+    return _main_text(parse(html), True) or _main_text(parse(html), False)
+
+
+def _main_text(root: Element, by_name: bool) -> str:
+    if by_name:
+        _skip_by_name(root)
     order = _measure(root)
     _score(order)
     containers = [e for e in order if not e.skip and e.points > 0 and e.tag not in ("p", "html", "#root")]

@@ -402,6 +402,19 @@ def test_html(spark):
     assert [r.n_chars for r in html_text.extract(p).orderBy("page_id").collect()][1] == 0
 
 
+def test_html_class_names():
+    text = "A paragraph of the article, with commas, and quite a few words in it."
+    for name in ("content-sidebar-wrap", "site has-sidebar", "no-sidebar", "page-with-nav", "post tag-spark"):
+        for tag in ("article", "div"):
+            page = f'<body><div class="{name}"><{tag}><h1>Title</h1><p>{text}<p>{text}</{tag}><div class="sidebar"><p>Aside, here.</p></div></div>'
+            assert html_text.main_text(page) == f"Title\n\n{text}\n\n{text}"
+    page = f'<body><article><div class="entry-header"><h1>Title</h1></div><p>{text}</p><div class="header nav">Menu</div></article>'
+    assert html_text.main_text(page) == f"Title\n\n{text}"
+    assert html_text.main_text('<div class="menu"><span>Only this</span></div>') == "Only this"
+    page = f'<body><div class="post"><p>{text}</p></div><div id="comments"><p>{text} {text} {text} So I say.</p></div>'
+    assert html_text.main_text(page) == text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
