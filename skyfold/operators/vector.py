@@ -91,8 +91,8 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(per), label).withColumn("weight", F.lit(float(one["__all"] or 0)) / (F.lit(float(one["__k"] or 1)) * F.col("__n"))).drop("__n")
 
 
-def fit_heads(train: DataFrame, label: str, seed: int = 0, names=("logistic", "logistic_strong", "forest")) -> dict:
-    """Fitted classifiers over ``features``; the data are weighted by class."""
+def fit_heads(train: DataFrame, label: str, seed: int = 0, names=("logistic", "logistic_strong", "svc", "mlp", "forest")) -> dict:
+    """Fitted classifiers over ``features``; all but the perceptron, which takes no weights, weight the data by class."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 
     n = train.count()
@@ -101,18 +101,18 @@ def fit_heads(train: DataFrame, label: str, seed: int = 0, names=("logistic", "l
         "logistic": lambda: LogisticRegression(**base, weightCol="weight", regParam=1.0 / max(1, n), standardization=False, maxIter=200),
         "logistic_strong": lambda: LogisticRegression(**base, weightCol="weight", regParam=10.0 / max(1, n), standardization=False, maxIter=200),
         "svc": lambda: LinearSVC(**base, weightCol="weight", regParam=1.0 / max(1, n)),
-        "mlp": lambda: MultilayerPerceptronClassifier(**base, layers=[len(train.first()["v"]), 64, 2], seed=seed),
+        "mlp": lambda: MultilayerPerceptronClassifier(**base, layers=[len(train.first()["v"]), 64, 2], maxIter=400, seed=seed),
         "forest": lambda: RandomForestClassifier(**base, weightCol="weight", numTrees=120, minInstancesPerNode=4, seed=seed),
     }
     return {name: make[name]().fit(train) for name in names}
 
 
 def class_one(model, rows: DataFrame) -> DataFrame:
-    """``rows`` with the probability of class 1 as ``p``."""
+    """``rows`` with the probability of class 1 as ``p``, or its raw prediction where the model has no probabilities."""
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(rows)
-    return out.withColumn("p", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+    return out.withColumn("p", vector_to_array("probability" if "probability" in out.columns else "rawPrediction")[1]).drop("probability", "rawPrediction", "prediction")
 
 
 def l2(rows: DataFrame, vector: str = "v") -> DataFrame:

@@ -188,3 +188,10 @@ def test_annotation_files(spark, tmp_path):
     y = sources.yolo_labels(spark, str(tmp_path / "l.txt"))
     assert [len(r.ring) for r in y.collect()] == [3]
     assert y.select(sources.yolo_line(F.col("cls"), F.col("ring")).alias("t")).first().t == "0 0.1 0.1 0.5 0.1 0.5 0.5"
+
+
+def test_head_comparison_has_all_heads(spark):
+    from skyfold.plans import catalogue
+
+    got = {r.head: r.ap for r in catalogue.queries()["head_comparison"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"logistic", "logistic_strong", "svc", "mlp", "forest"} and all(0 < x <= 1 for x in got.values())
