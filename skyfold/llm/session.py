@@ -2,55 +2,79 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch.  Spark's default of 10,000 would hold 10,000
 #: whole documents in a worker at once.
 TEXT_ROWS_PER_BATCH = 1000
+#: Spark's setting by which a job's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can read and write.
 
-    A cluster names it in ``spark.checkpoint.dir``; a temporary folder is used
-    only where that is unset, as in local tests.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    temporary folder serves a local session, as in tests; a cluster's executors
+    would not see it, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="skyfold-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    if spark.sparkContext.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="skyfold-")
+    return _LOCAL_DIRS[spark.sparkContext.applicationId]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the jobs run inside are deleted when each job ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs the tasks of later stages only.
+    The table goes when ``discard`` is called, or with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyfold-{uuid.uuid4().hex}"
     schema = df.schema
-    release(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    out._skyfold_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Collect the plans of finished steps on the driver, so that Spark deletes their shuffle files.
-
-    Without it they stay on the executors' disks until the driver happens to
-    collect its garbage.
-    """
-    spark.range(1).count()  # the last plan is held until another one runs
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*steps: DataFrame) -> None:
+    """Delete the tables of ``materialise`` that nothing reads any more."""
+    for step in steps:
+        fs, where = _hadoop(step.sparkSession, step._skyfold_path)
+        fs.delete(where, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -58,22 +82,3 @@ def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > TEXT_ROWS_PER_BATCH:
         spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
-
-
-def with_columns_of(df: DataFrame, schema_ddl: str):
-    """The schema of ``df`` followed by the fields of ``schema_ddl``."""
-    from pyspark.sql import types as T
-
-    return T.StructType(list(df.schema.fields) + list(T.StructType.fromDDL(schema_ddl).fields))
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not use, whatever the case."""
-    used = {c.lower() for c in df.columns}
-    while name.lower() in used:
-        name = "_" + name
-    return name
-
-
-def empty_as_null(column: str):
-    return F.when(F.length(column) > 0, F.col(column))
