@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.session import materialise
+from skyfold.llm.session import discard, materialise
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -30,17 +30,16 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of longs -> (node, component), the least node of its component; nodes with links only."""
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(most_rounds):
-        edges = materialise(_stars(_stars(edges, True), False))
+    while True:
+        before, edges = edges, materialise(_stars(_stars(edges, True), False))
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -15,11 +15,15 @@ are linked when they share at least 75 % of their union.
    bucket's smallest id, so pairs grow in proportion to members.  Compared means:
    exact intersection of the full sets, next to each other in one row.
 4. Union-find (large and small stars) over the confirmed links.  What is left are
-   the buckets whose members are still in different components.  Their members
-   meet in blocks of ``BLOCK``, each with its set, and those outside the
-   block's largest component are intersected with all others at once; only
-   confirmed links come out.  No pair is skipped and no task holds more than two
-   blocks.  The components are then joined again.
+   the buckets whose members are still in different components.  In one of up
+   to ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles, those outside the largest
+   component are intersected with all others at once.  The members of larger
+   ones meet by an exact join on their sets instead: shingles are counted over
+   these members, each posts the rarest of its own that a similar set must share
+   one of, and members of different components that meet are compared.  So
+   boilerplate in a third of all documents makes no pairs: its shingles are
+   common.  Only confirmed links come out, and no pair of a bucket is skipped.
+   The components are then joined again, if there are new links.
 
 A pair at exactly 0.75 shares a bucket with probability 1 - (1 - 0.75**6)**32 =
 0.998, one at 0.8 with 0.9999; below the threshold links are never made.
@@ -35,19 +39,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.llm import textnp
 from skyfold.llm.components import components
-from skyfold.llm.session import bound_batches, materialise
+from skyfold.llm.session import bound_batches, discard, materialise
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
-#: Members of a bucket in one block; a task holds two blocks of sets.
-BLOCK = 500
+#: The largest bucket whose members are compared in one group: members, and shingles of all their sets (16 MB).
+BLOCK, BLOCK_SHINGLES = 500, 1 << 21
 #: Shingles whose slots are filled together; bounds a worker's arrays to some 30 MB.
 CHUNK = 1 << 17
 
@@ -149,15 +153,14 @@ def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "words_a", "words_b").mapInPandas(_confirmed, "a long, b long").distinct()
 
 
-def links_in_block(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, words: list) -> list[tuple[int, int]]:
-    """All links between members in different components; of two blocks, those across them."""
+def links_in_block(rep: np.ndarray, comp: np.ndarray, words: list) -> list[tuple[int, int]]:
+    """All links between members in different components."""
     sets = [np.frombuffer(w, np.uint64) for w in words]
     size = np.array([len(x) for x in sets])
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     elements, number = np.unique(np.concatenate(sets), return_inverse=True)
     kinds, counts = np.unique(comp, return_counts=True)
     largest = kinds[counts.argmax()]
-    two = block.min() != block.max()
     out = []
     mark = np.zeros(len(elements), np.int32)
     for y in np.flatnonzero(comp != largest):
@@ -166,25 +169,53 @@ def links_in_block(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, words:
         shared = np.add.reduceat(mark[number], starts)
         mark[own] = 0
         hit = (DENOMINATOR * shared >= NUMERATOR * (size + size[y] - shared)) & (comp != comp[y])
-        if two:
-            hit &= block != block[y]
         out += [(int(rep[y]), int(rep[x])) for x in np.flatnonzero(hit)]
     return out
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    found = links_in_block(pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy(), pdf["words"].tolist()) if pdf["comp"].nunique() > 1 else []
+    found = links_in_block(pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["words"].tolist()) if pdf["comp"].nunique() > 1 else []
     return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
 
 
+def _elements(batches):
+    for pdf in batches:
+        for rep, comp, v, words in zip(pdf["rep"], pdf["comp"], pdf["v"], pdf["words"]):
+            x = np.frombuffer(words, np.int64)
+            for a in range(0, len(x), 100_000):
+                part = x[a : a + 100_000]
+                yield pd.DataFrame({"rep": rep, "comp": comp, "v": v, "n": len(x), "token": part})
+
+
+def links_by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, comp) -> links (a, b) between members in different components, by an exact prefix join."""
+    rows = members.join(sets.select(F.col("doc_id").alias("rep"), "words", F.xxhash64("words").alias("v")), "rep")
+    tokens = materialise(rows.mapInPandas(_elements, "rep long, comp long, v long, n int, token long"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("all"))
+    # Sets as similar as asked share one of the n - ceil(0.75 n) + 1 rarest shingles of each.
+    prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1
+    order = Window.partitionBy("rep", "v").orderBy("all", "token")
+    posted = tokens.join(common, "token").withColumn("pos", F.row_number().over(order)).filter((F.col("pos") <= prefix) & (F.col("all") > 1))
+    posted = materialise(posted.select("token", "rep", "comp", "n", "pos"))
+    x, y = posted.alias("x"), posted.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    most = F.least(n - F.col("x.pos"), m - F.col("y.pos")) + 1  # shared shingles, given where the common one stands
+    able = ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n + m)) & (DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & able)
+    return confirm(sets, pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+
+
 def links_across(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, rep, comp) of buckets -> links (a, b) between members of a bucket in different components."""
-    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    rows = placed.join(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "words"), "rep")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.groupBy("key", F.least("block", "other"), F.greatest("block", "other")).applyInPandas(_block_links, "a long, b long").distinct()
+    """(key, rep, comp, n_shingles) of buckets -> links (a, b) between members of a bucket in different components."""
+    size = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    apart = placed.join(size.filter("lo < hi").select("key", ((F.col("n") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)).alias("small")), "key")
+    apart = materialise(apart.select("key", "rep", "comp", "small"))
+    rows = apart.filter("small").join(sets.select(F.col("doc_id").alias("rep"), "words"), "rep")
+    found = rows.groupBy("key").applyInPandas(_block_links, "a long, b long")
+    large = apart.filter("not small").select("rep", "comp").distinct()
+    if not large.isEmpty():
+        found = found.union(links_by_rare_shingles(large, sets))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -194,22 +225,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = materialise(docs.mapInPandas(_signatures, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"))
     whole = sig.filter("n_shingles > 0 and doc_id is not null")
     same = materialise(whole.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    members = same.select("rep", F.explode("keys").alias("key"))
+    members = same.select("rep", "n_shingles", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1")
     members = materialise(members.join(buckets.select("key", "least"), "key"))
     texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = materialise(texts.mapInPandas(_sets, "doc_id long, words binary"))
     pairs = members.filter("least <> rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(confirm(sets, pairs))
+    comp = materialise(components(links))
+    placed = members.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
     # Versions of one doc_id belong together: each set's rep is linked with all the ids that share it.
     reps = same.select("h1", "h2", "n_shingles", "rep")
-    comp = materialise(components(links))
-    placed = members.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    links = links.union(links_across(placed, sets))
     versions = whole.join(reps, ["h1", "h2", "n_shingles"]).filter("doc_id <> rep")
     repeated = whole.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).filter("lo <> hi").select("doc_id")
-    links = links.union(versions.join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    comp = materialise(components(links))
+    more = links_across(placed, sets).union(versions.join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    more = materialise(more)
+    discard(members, sets, links)
+    if not more.isEmpty():
+        comp = materialise(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     out = sig.join(reps, ["h1", "h2", "n_shingles"], "left")
     out = out.join(comp, F.col("rep") == F.col("node"), "left")
     shared = F.coalesce("component", "rep", "doc_id")
