@@ -2,10 +2,15 @@
 
 Rules vote that a document is good or bad, or abstain.  Votes agree in a vector
 of a few outcomes, so a count for each vector seen (at most 3 ** rules rows)
-holds all that expectation-maximisation needs.  EM fits, for each class, how
-often a rule gives each vote; the posterior of a vector is the quality of every document with those votes.  The
-fit is one ``aggregate`` expression over the counted vectors: no rows leave the
-executors but that one row.
+holds all that expectation-maximisation needs.  EM fits a mixture of one class of
+good documents and one class of bad ones for each family of rules (symbols,
+shouting, repetition): its share of the corpus and how often each rule gives each
+vote in it.  A class of bad documents starts from the vectors in which two rules
+of its family agree on bad; a lone bad vote starts as a false alarm.  So rules'
+accuracies come from their agreement with each other, and junk of one kind needs
+no votes from rules that look for another.  The posterior of the good class is
+the quality of every document with those votes.  The fit is one ``aggregate``
+expression over the counted vectors: no rows leave the executors but that one.
 
 Defined results: a null text has no words; texts with fewer than ``MIN_WORDS``
 words or too many repeated ones fail outright; repeated rows vote each; an empty
@@ -24,19 +29,12 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 EM_ROUNDS = 30
-#: What is believed of rules before any vote is counted: how often one calls a good
-#: or a bad document bad, abstains, or calls it good; worth so many documents for each counted.
-BELIEF_GOOD, BELIEF_BAD, BELIEF_WEIGHT = (0.001, 0.599, 0.4), (0.3, 0.4, 0.3), 0.02
-#: The share of good documents before the votes.  It is given, not estimated: with few
-#: votes for bad, an estimate drifts to one class.
-GOOD_SHARE = 0.9
-#: How sure the belief is that a rule calls few good documents bad, by rule of ``votes``: worth
-#: so many documents for each counted.  The rules with one side look for what is hardly found in
-#: good text, and votes alone can't tell junk of their kind, which looks good to the other rules,
-#: from their false alarms.  Stops and distinct words depend on genre and script; their false
-#: alarms are left to the counts.
-SURE, UNSURE = 3.0, BELIEF_WEIGHT
-FALSE_ALARM_WEIGHTS = (SURE, SURE, SURE, SURE, SURE, UNSURE, SURE, UNSURE)
+#: What is believed of a rule before any vote is counted: how often it calls a good
+#: or a bad document bad, abstains, or calls it good; worth so many documents for each of the class.
+BELIEF_GOOD, BELIEF_BAD, BELIEF_WEIGHT = (0.02, 0.2, 0.78), (0.4, 0.3, 0.3), 0.02
+#: The family of each rule of ``votes``; the last stands alone.
+FAMILIES = (1, 1, 1, 2, 2, 2, 3, 3, 3, 0)
+CLASSES = 4
 KEEP_AT = 0.5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -97,93 +95,116 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         count(r"[A-ZÀ-Þ]").cast("long").alias("n_upper"),
         count(r"!").cast("long").alias("n_shouts"),
         count(r"[.?。]").cast("long").alias("n_stops"),
+        (F.size(F.split(t, r"[#*$%&|<>]+", -1)) - 1).cast("long").alias("n_symbol_runs"),
+        count(r"\p{L}").cast("long").alias("n_letters"),
     )
 
 
 def votes(m: dict[str, Column]) -> list[Column]:
-    """Each rule's vote: -1 bad, 1 good, 0 abstains."""
+    """Each rule's vote: -1 bad, 1 good, 0 abstains; the families of ``FAMILIES``."""
     n = F.greatest(m["n_words"], F.lit(1)).cast("double")
     chars = F.greatest(m["word_chars"], F.lit(1)).cast("double")
+    lines = m["n_lines"].cast("double")
 
-    def rule(bad: Column, good: Column | None = None) -> Column:
-        out = F.when(bad, F.lit(-1))
-        return (out.when(good, F.lit(1)) if good is not None else out).otherwise(F.lit(0))
+    def rule(bad: Column, good: Column) -> Column:
+        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
-    stops, distinct = m["n_stops"] / n, m["n_distinct"] / n
+    symbols, runs, letters = m["n_symbols"] / n, m["n_symbol_runs"] / n, m["n_letters"] / chars
+    upper, shouts, length = m["n_upper"] / chars, m["n_shouts"] / n, chars / n
+    # Distinct words grow like the root of the length at first, so this holds for short and long texts.
+    adjacent, distinct, stops = m["n_adjacent"] / n, m["n_distinct"] / F.sqrt(n), m["n_stops"] / n
+    same = m["n_dup_lines"] / F.greatest(lines, F.lit(1.0))
     return [
-        rule(m["n_symbols"] / n > 0.25),
-        rule(m["n_upper"] / chars > 0.35),
-        rule(m["n_shouts"] / n > 0.25),
-        rule(m["n_adjacent"] / n > 0.2),
-        rule(m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)) > 0.6),
+        rule(symbols > 0.25, symbols < 0.05),
+        rule(runs > 0.15, runs < 0.03),
+        rule(letters < 0.75, letters > 0.88),
+        rule(upper > 0.35, upper < 0.15),
+        rule(shouts > 0.25, shouts < 0.05),
+        rule((length < 2.5) | (length > 20), (length > 3) & (length < 12)),
+        rule(adjacent > 0.2, adjacent < 0.05),
+        rule((lines >= 3) & (same > 0.6), (lines >= 3) & (same < 0.2)),
+        rule(distinct < 2.0, distinct > 3.5),
         rule((n >= 40) & (stops < 0.01), (stops > 0.03) & (stops < 0.4)),
-        rule((chars / n < 2.5) | (chars / n > 20)),
-        rule((n >= 40) & (n < 2000) & (distinct < 0.2), (n < 2000) & (distinct > 0.4)),
     ]
 
 
-def label_model(counted: DataFrame, sure: tuple[float, ...], rounds: int = EM_ROUNDS) -> DataFrame:
-    """(votes array<int>, n) -> (votes, quality): the posterior that documents with these votes are good.
+MEASURES = (*BASE, "n_lines", "n_distinct", "n_adjacent", "n_upper", "n_shouts", "n_stops", "n_symbol_runs", "n_letters")
 
-    Dawid-Skene (maximum a posteriori) with two classes and three votes a rule.  It starts from good
-    for vectors without a bad vote and bad for the others.  ``sure`` has the weight of the belief in
-    each rule's false-alarm rate, which is estimated like all others.
+
+def label_model(counted: DataFrame, families: tuple[int, ...] = FAMILIES, rounds: int = EM_ROUNDS) -> DataFrame:
+    """(votes array<int>, n) -> (votes, quality, rates): the posterior that documents with these votes are good.
+
+    A latent class model with three votes a rule; class 0 is good, the others are the ``families``
+    of junk.  ``rates`` is the same in every row: for each class how often each rule votes bad.
     """
-    cells = 3 * len(sure)
+    rules, classes = len(families), max(families) + 1
+    cells = 3 * rules
     # A vector as the cells that it sets: rule r voting v sets cell 3r + v + 1.
     one = counted.agg(F.collect_list(F.struct("votes", F.transform("votes", lambda v, i: i * 3 + v + 1).alias("cells"), F.col("n").cast("double").alias("n"))).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total"))
-    first = F.transform("rows", lambda r: F.when(F.array_contains(r["votes"], -1), F.lit(0.02)).otherwise(F.lit(0.98)))
 
-    def logs(rows: Column, good: Column, sign: int) -> Column:
-        """Log of the share of each vote in a class, by cell, and last of the class."""
-        belief = F.array(*[F.lit(x) for x in (BELIEF_GOOD if sign > 0 else BELIEF_BAD)])
-        weight = F.col("total") * BELIEF_WEIGHT + 1
-        alarm_weight = F.array(*[F.col("total") * (w if sign > 0 else BELIEF_WEIGHT) + 1 for w in sure for _ in range(3)])
-        share = lambda k: good[k] if sign > 0 else 1 - good[k]
-        mass = F.aggregate(rows, F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s")), lambda a, r: F.struct((a["k"] + 1).alias("k"), (a["s"] + r["n"] * share(a["k"])).alias("s")), lambda a: a["s"])
-        in_cell = lambda c: F.aggregate(rows, F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s")), lambda a, r: F.struct((a["k"] + 1).alias("k"), (a["s"] + F.when(F.array_contains(r["cells"], c), r["n"] * share(a["k"])).otherwise(0.0)).alias("s")), lambda a: a["s"])
-        counts = F.array(F.struct(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), in_cell).alias("n"), mass.alias("all")))
+    def against(r: Column, k: int) -> Column:
+        """How many rules of family ``k`` vote bad."""
+        return sum((F.when(r["votes"][i] == -1, 1).otherwise(0) for i, f in enumerate(families) if f == k), F.lit(0))
+
+    def start(r: Column) -> Column:
+        two = [(against(r, k) >= 2).cast("double") for k in range(1, classes)]
+        any_ = sum(two[1:], two[0])
+        return F.array(F.when(any_ > 0, F.lit(0.02)).otherwise(F.lit(0.96)), *[F.when(x > 0, 0.96 / F.greatest(any_, F.lit(1.0))).otherwise(F.lit(0.02 / classes)) for x in two])
+
+    def rates(rows: Column, resp: Column, k: int) -> Column:
+        """The share of each vote in class ``k``, by cell, and last of the class."""
+        belief = F.array(*[F.lit(x) for x in (BELIEF_GOOD if k == 0 else BELIEF_BAD)])
+        weighed = F.transform(rows, lambda r, i: F.struct(r["cells"].alias("cells"), (r["n"] * resp[i][k]).alias("n")))
+        total = lambda x, of: F.aggregate(x, F.lit(0.0), lambda s, r: s + of(r))
+        mass = total(weighed, lambda r: r["n"])
+        in_cell = lambda w, c: total(w, lambda r: F.when(F.array_contains(r["cells"], c), r["n"]).otherwise(0.0))
+        counts = F.array(F.struct(weighed.alias("w"), mass.alias("all")))
+        weight = lambda x: x["all"] * BELIEF_WEIGHT + 1
+        share = lambda x, c: (in_cell(x["w"], c) + weight(x) * belief[c % 3]) / (x["all"] + weight(x))
+        return F.flatten(F.transform(counts, lambda x: F.array_append(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: share(x, c)), (x["all"] + 1) / (F.col("total") + classes))))
+
+    def posterior(rows: Column, resp: Column) -> Column:
+        fit = F.array(F.array(*[F.transform(rates(rows, resp, k), lambda x: F.log(x)) for k in range(classes)]))
+
+        def one_row(f: Column, r: Column) -> Column:
+            scores = F.transform(f, lambda logs: F.aggregate(r["cells"], logs[cells], lambda s, c: s + logs[c]))
+            parts = F.transform(F.array(scores), lambda x: F.transform(x, lambda y: F.exp(y - F.array_max(x))))
+            return F.flatten(F.transform(parts, lambda p: F.transform(p, lambda y: y / F.aggregate(p, F.lit(0.0), lambda s, z: s + z))))
 
-        def share_of(x, c):
-            """The share of bad votes first, and of the rest what the other two votes have."""
-            bad = x["n"][c - c % 3]
-            bad_share = (bad + alarm_weight[c] * belief[0]) / (x["all"] + alarm_weight[c])
-            rest = (x["n"][c] + weight * belief[c % 3]) / (x["all"] - bad + weight * (1 - belief[0]))
-            return F.when(c % 3 == 0, bad_share).otherwise((1 - bad_share) * rest)
+        return F.flatten(F.transform(fit, lambda f: F.transform(rows, lambda r: one_row(f, r))))
 
-        cell_logs = F.flatten(F.transform(counts, lambda x: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.log(share_of(x, c)))))
-        return F.array_append(cell_logs, F.log(F.lit(GOOD_SHARE if sign > 0 else 1 - GOOD_SHARE)))
+    fitted = one.select("rows", "total", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("rows", start), lambda resp, _: posterior(F.col("rows"), resp)).alias("resp"))
+    alarms = F.array(*[F.filter(rates(F.col("rows"), F.col("resp"), k), lambda _, i: (i % 3 == 0) & (i < cells)) for k in range(classes)])
+    fitted = fitted.select(F.arrays_zip("rows", "resp").alias("x"), alarms.alias("rates"))
+    return fitted.select(F.explode("x").alias("x"), "rates").select(F.col("x.rows.votes").alias("votes"), F.col("x.resp")[0].alias("quality"), "rates")
 
-    def posterior(rows: Column, good: Column) -> Column:
-        fit = F.array(F.struct(logs(rows, good, 1).alias("g"), logs(rows, good, -1).alias("b")))
-        return F.flatten(F.transform(fit, lambda f: F.transform(rows, lambda r: F.lit(1.0) / (1 + F.exp(F.least(F.lit(500.0), F.aggregate(r["cells"], f["b"][cells] - f["g"][cells], lambda s, c: s + f["b"][c] - f["g"][c])))))))
 
-    fitted = one.select("rows", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, lambda good, _: posterior(F.col("rows"), good)).alias("good"))
-    return fitted.select(F.explode(F.arrays_zip("rows", "good")).alias("x")).select(F.col("x.rows.votes").alias("votes"), F.col("x.good").alias("quality"))
+def ballots(measured: DataFrame) -> DataFrame:
+    """Rows with the measures of ``base_measures`` -> plus base_failed and their ``__votes``."""
+    d = measured.withColumn("__votes", F.array(*votes({c: F.col(c) for c in MEASURES})))
+    return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """Rows with the measures of ``base_measures`` -> plus base_failed, quality and kept.
+def judge(d: DataFrame) -> DataFrame:
+    """Rows of ``ballots`` -> plus quality and kept.
 
-    ``measured`` is read twice: for the counts of vote vectors and for the result.
+    ``d`` is read twice: for the counts of vote vectors and for the result.
     """
-    ballot = votes({c: F.col(c) for c in (*BASE, "n_lines", "n_distinct", "n_adjacent", "n_upper", "n_shouts", "n_stops")})
-    d = measured.withColumn("__votes", F.array(*ballot))
-    d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
     counted = d.filter(~F.col("base_failed")).groupBy(F.col("__votes").alias("votes")).agg(F.count("*").alias("n"))
-    model = materialise(label_model(counted, FALSE_ALARM_WEIGHTS))  # at most 3 ** 8 rows
+    model = materialise(label_model(counted).drop("rates"))  # at most 3 ** 10 rows
     d = d.join(F.broadcast(model), F.col("__votes") == F.col("votes"), "left").drop("votes", "__votes")
     return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("quality") >= KEEP_AT, F.lit(False)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, quality and kept of each document; texts are read once."""
-    return judge(materialise(base_measures(docs.select("doc_id", "text")).drop("text")))
+    return judge(materialise(ballots(base_measures(docs.select("doc_id", "text")).drop("text"))))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns.  Texts stay where they are; they are read twice."""
+    """The documents that the rules keep, with their own columns.  Texts are measured once and written with their votes."""
     clash = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     own = docs.withColumnsRenamed(clash)
-    kept = judge(base_measures(own)).filter("kept").select(*own.columns)
+    voted = materialise(ballots(base_measures(own)).select(*own.columns, "base_failed", "__votes"))
+    kept = judge(voted).filter("kept").select(*own.columns)
     return kept.withColumnsRenamed({v: k for k, v in clash.items()})
