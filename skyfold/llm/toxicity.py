@@ -4,11 +4,13 @@ Features are the presence of words and of their first 4, 5 and 6 letters.  The
 fit reads a bounded, seeded sample of labelled rows (``SAMPLE``): features are
 counted over it, the ``FEATURES`` with the strongest association (G squared) are
 kept together with the identity terms, and a logistic regression is fitted on
-the driver over those few columns.  For every sampled text that names an
-identity group, a copy with the term swapped for another of its kind is made;
-the squared change of the score's logit between the two is added to the loss,
-weighted by ``PENALTY``.  So a bare mention of a group carries no weight of its
-own.
+the driver over those few columns.  For every sampled text and each identity
+term that it names, a copy with the term swapped for another of its kind is
+made; the squared change of the score's logit between the two is added to the
+loss, weighted by ``PENALTY``.  So a bare mention of a group carries no weight of
+its own.  Terms are known in four languages; texts that name none add no pairs,
+and the fit is then a plain logistic regression (``Model.pairs`` tells how many
+pairs a fit had).
 
 Scoring streams over all documents without a shuffle.
 
@@ -49,8 +51,42 @@ IDENTITY = (
     ("young", "old"),
     ("blind", "deaf", "disabled"),
     ("immigrants", "refugees", "natives"),
+    # German
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell"),
+    ("schwarze", "weiße", "asiaten"),
+    ("afrikaner", "europäer", "amerikaner", "türken", "chinesen", "araber"),
+    ("einwanderer", "flüchtlinge", "einheimische"),
+    # French
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("noirs", "blancs", "asiatiques"),
+    ("africains", "européens", "américains", "chinois", "arabes"),
+    ("immigrés", "réfugiés"),
+    # Spanish
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("negros", "blancos", "asiáticos"),
+    ("africanos", "europeos", "americanos", "mexicanos", "chinos", "árabes"),
+    ("inmigrantes", "refugiados", "nativos"),
 )
-SWAPS = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY for i, term in enumerate(kind)}
+#: A term's substitutes; one that stands in two languages' kinds has one in each.
+SWAPS: dict[str, list[str]] = {}
+for _kind in IDENTITY:
+    for _i, _term in enumerate(_kind):
+        SWAPS.setdefault(_term, []).append(_kind[(_i + 1) % len(_kind)])
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -62,14 +98,16 @@ def features(text) -> set[str]:
     return {f for w in set(text.lower().split()) for f in word_features(w)} if isinstance(text, str) else set()
 
 
-def swapped(text) -> set[str] | None:
-    """The features of the text with every identity term swapped; None if it names none."""
+def counterfactuals(text) -> list[set[str]]:
+    """For each identity term of the text, and each substitute, the features of the text with that term swapped."""
     if not isinstance(text, str):
-        return None
+        return []
     words = {w.strip(STRIP) for w in set(text.lower().split())}
-    if not words & SWAPS.keys():
-        return None
-    return {f for w in words for f in word_features(SWAPS.get(w, w))}
+    out = []
+    for term in sorted(words & SWAPS.keys()):
+        rest = [f for w in words - {term} for f in word_features(w)]
+        out += [{*rest, *word_features(other)} for other in SWAPS[term]]
+    return out
 
 
 def _counts(batches):
@@ -84,10 +122,10 @@ def _counts(batches):
 
 
 class Model:
-    """Weights by feature and a bias."""
+    """Weights by feature, a bias, and how many counterfactual pairs the fit had."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, pairs: int = 0):
+        self.weights, self.bias, self.pairs = weights, bias, pairs
 
     def scorer(self):
         weights, bias, memo = self.weights, self.bias, {}
@@ -155,15 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     def columns(batches):
         for pdf in batches:
             x = [sorted(number[f] for f in features(t) if f in number) for t in pdf["text"]]
-            other = [swapped(t) for t in pdf["text"]]
-            z = [None if s is None else sorted(number[f] for f in s if f in number) for s in other]
+            z = [[sorted(number[f] for f in s if f in number) for s in counterfactuals(t)] for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": x, "z": z, "toxic": pdf["toxic"].astype("int64")})
 
-    got = rows.mapInPandas(columns, "doc_id long, x array<int>, z array<int>, toxic long").collect()
+    got = rows.mapInPandas(columns, "doc_id long, x array<int>, z array<array<int>>, toxic long").collect()
     got.sort(key=lambda r: (r.doc_id, r.x))
-    pairs = [(r.x, r.z) for r in got if r.z is not None]
+    pairs = [(r.x, z) for r in got for z in r.z]
     w, b = _logistic([r.x for r in got], np.array([r.toxic for r in got], float), pairs, len(names), penalty)
-    return Model({f: float(x) for f, x in zip(names, w) if x}, b)
+    return Model({f: float(x) for f, x in zip(names, w) if x}, b, len(pairs))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
