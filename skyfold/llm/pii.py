@@ -2,8 +2,10 @@
 
 Base spans of four kinds come from fixed patterns and checks and always stay.
 Further candidates (numbers that look like phones without a plus, social
-security numbers, account numbers, spelled-out e-mail addresses) are judged: labelers that look at the form, at gazetteers and at the
-words around vote or abstain on each.  The votes of all candidates, counted by
+security numbers, account numbers, spelled-out e-mail addresses, keys and
+passwords, titled names, street addresses) are judged: labelers that look at the
+form, at the entropy, at gazetteers and at the words around vote or abstain on
+each.  The votes of all candidates, counted by
 vector, feed an expectation-maximisation that estimates how reliable each
 labeler is; its posteriors are the soft labels of a logistic regression over
 features of the span, the final classifier.  Candidates that it accepts are
@@ -23,7 +25,9 @@ are scanned each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from skyfold.llm.session import bound_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "ssn", "iban")
+KINDS = (*BASE_KINDS, "ssn", "iban", "secret", "name", "address")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -48,7 +52,17 @@ MORE = (
     ("phone", re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), "digit"),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), "digit"),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), "digit"),
+    # A long run of letters and digits; the run is taken whole, so that a failed one is not tried again inside.
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"), "digit"),
+    # The value after a word for a secret.
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|passwort|contraseña|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<span>[^\s\"',;]{6,256})"), "="),
+    ("name", re.compile(r"(?<![A-Za-zÀ-ÿ])(?:Mrs?|Ms|Dr|Prof|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Sra?|Don|Doña)\.?[ ](?P<span>[A-ZÀ-Þ][a-zß-ÿ]{1,30}(?:[ -][A-ZÀ-Þ][a-zß-ÿ]{1,30}){0,2})(?![A-Za-zÀ-ÿ])"), "title"),
+    ("address", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[a-z]?,?[ ](?:[A-ZÀ-Þ][a-zß-ÿ'-]{1,30}[ ]){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd|Court|Square)(?![A-Za-z])"), "digit"),
+    ("address", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[a-z]?,?[ ](?:rue|avenue|boulevard|place|chemin|quai)(?:[ ](?:de|du|des|la|le|les)){0,2}(?:[ ][A-ZÀ-Þ][a-zß-ÿ'-]{1,30}){1,3}"), "digit"),
+    ("address", re.compile(r"(?<![A-Za-zÀ-ÿ])[A-ZÀ-Þ][a-zß-ÿ]{1,30}(?:straße|strasse|str\.|weg|platz|allee|gasse)[ ][0-9]{1,5}(?![0-9])"), "digit"),
+    ("address", re.compile(r"(?<![A-Za-zÀ-ÿ])(?:Calle|Avenida|Plaza|Paseo)(?:[ ](?:de|del|la|las|los|el)){0,2}(?:[ ][A-ZÀ-Þ][a-zß-ÿ]{1,30}){1,3},?[ ][0-9]{1,5}(?![0-9])"), "digit"),
 )
+TITLE = re.compile(r"(?:Mr|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Sr|Don|Doña)")
 #: Gazetteers and context words (fixed values).
 MAIL_ENDS = frozenset("com org net edu gov de fr es uk io info eu".split())
 IBAN_LANDS = frozenset("AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
@@ -60,8 +74,16 @@ CONTEXT = {
     "phone": ("phone", "tel", "tel.", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
     "ssn": ("ssn", "social", "security"),
     "iban": ("iban", "bank", "konto", "account", "cuenta", "compte"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "api_key", "apikey", "api-key", "credential", "credentials", "auth", "bearer", "passwort", "contraseña"),
+    "name": ("name", "dear", "regards", "from", "contact", "patient", "born", "lives", "liebe", "cher", "querido"),
+    "address": ("address", "lives", "street", "adresse", "dirección", "wohnt", "habite", "vive", "zip", "home"),
 }
-AGAINST = ("version", "isbn", "page", "order", "article", "chapter", "serial")
+#: How known kinds of keys begin, and given names (fixed values).
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "ya29.")
+GIVEN_NAMES = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna hans peter klaus ursula petra jürgen sabine jean marie pierre michel nathalie isabelle philippe françois josé maría antonio carmen manuel francisco juan ana luis pedro".split())
+HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
+DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
+AGAINST = ("version", "isbn", "page", "order", "article", "chapter", "serial", "commit", "sha1", "sha256", "md5", "checksum", "digest", "hash")
 ROUNDS = 30
 ACCEPT = 0.5
 
@@ -126,10 +148,21 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             low = text.lower() if low is None else low
             if "[at]" not in low and "(at)" not in low:
                 continue
-        out += [(kind, *m.span()) for m in pattern.finditer(text)]
+        if needs == "=" and "=" not in text and ":" not in text:
+            continue
+        if needs == "title" and not TITLE.search(text):
+            continue
+        part = "span" if "span" in pattern.groupindex else 0
+        out += [(kind, *m.span(part)) for m in pattern.finditer(text)]
     return out
 
 
+def entropy(s: str) -> float:
+    """Bits a character."""
+    n = len(s)
+    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
+
+
 def near_words(text: str, start: int, end: int) -> set[str]:
     around = text[max(0, start - 60) : start] + " " + text[end : end + 30]
     return {w.strip(".,:;=\"'()").lower() for w in around.split()}
@@ -142,6 +175,8 @@ def vote(kind: str, text: str, start: int, end: int) -> tuple[tuple[int, ...], t
     near = near_words(text, start, end)
     share = len(digits) / max(1, len(s))
     mixed = bool(digits) and any(c.isalpha() for c in s)
+    hexa = bool(HEX.match(s))
+    words = s.lower().replace("-", " ").split()
     form = {
         "email": 1,
         "ip": 1 if len(digits) >= 7 else 0,
@@ -149,6 +184,9 @@ def vote(kind: str, text: str, start: int, end: int) -> tuple[tuple[int, ...], t
         "phone": 1 if 8 <= len(digits) <= 15 else -1,
         "ssn": -1 if digits[:3] in ("000", "666") or digits[:1] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1,
         "iban": 1 if kind == "iban" and iban_holds(s) else -1,
+        "secret": 1 if s.startswith(KEY_STARTS) else (1 if len(s) in DIGEST_LENGTHS else 0) if hexa else 1 if mixed and len(digits) >= 3 and "/" not in s else 0 if digits and len(s) < 20 else -1,
+        "name": 1 if len(words) >= 2 else 0,
+        "address": 1,
     }[kind]
     gazetteer = {
         "email": 1 if s.rsplit(".", 1)[-1].strip().lower() in MAIL_ENDS else 0,
@@ -156,17 +194,40 @@ def vote(kind: str, text: str, start: int, end: int) -> tuple[tuple[int, ...], t
         "card": 1 if digits[:1] in ("3", "4", "5", "6") else -1,
         "iban": 1 if s[:2] in IBAN_LANDS else -1,
         "ip": -1 if s.startswith(("0.", "127.", "255.")) else 0,
+        "secret": 1 if s.startswith(KEY_STARTS) else 0,
+        "name": 1 if words[:1] and words[0] in GIVEN_NAMES else 0,
     }.get(kind, 0)
+    # Of random characters a key has much entropy, a path or a ruler little.
+    random = 0 if kind != "secret" else 1 if len(s) >= 20 and entropy(s) >= 3.0 else -1 if entropy(s) < 2.2 else 0
     context = 1 if near & set(CONTEXT[kind]) else 0
     contrary = -1 if near & set(AGAINST) else 0
-    repeat = -1 if len(set(digits or s)) <= 2 else 0
-    votes = (form, gazetteer, context, contrary, repeat)
-    features = (*(int(kind == k) for k in KINDS), int(mixed), int(share > 0.5), int(len(s) >= 12), int("." in s), int(context > 0), int(contrary < 0), int(repeat < 0), int(form > 0), int(form < 0), int(gazetteer > 0), int(gazetteer < 0))
+    repeat = -1 if kind not in ("name", "address") and len(set(s if kind == "secret" else digits or s)) <= 2 else 0
+    votes = (form, gazetteer, context, contrary, repeat, random)
+    features = (*(int(kind == k) for k in KINDS), int(mixed), int(share > 0.5), int(len(s) >= 12), int("." in s), int(context > 0), int(contrary < 0), int(repeat < 0), int(form > 0), int(form < 0), int(gazetteer > 0), int(gazetteer < 0), int(random > 0), int(random < 0))
     return votes, features
 
 
-def overlaps(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
-    return any(a < end and start < b for a, b in spans)
+class Taken:
+    """Disjoint intervals in order; an overlap is found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.ends, a + 1)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def _vectors(batches):
@@ -236,15 +297,15 @@ def all_spans(text, model) -> tuple[dict, list[tuple[str, int, int]]]:
     if not isinstance(text, str) or not text:
         return {k: [] for k in BASE_KINDS}, []
     base = base_spans(text)
-    taken = [s for spans in base.values() for s in spans]
+    taken = Taken([s for spans in base.values() for s in spans])
     out = [(k, a, b) for k in BASE_KINDS for a, b in base[k]]
     if model is not None:
         w, b0 = model
         for kind, a, b in candidates(text):
-            if not overlaps(a, b, taken):
+            if not taken.meets(a, b):
                 z = b0 + float(np.dot(w, vote(kind, text, a, b)[1]))
                 if 1 / (1 + np.exp(-z)) >= ACCEPT:
-                    taken.append((a, b))
+                    taken.add(a, b)
                     out.append((kind, a, b))
     out.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return base, out
@@ -255,7 +316,7 @@ def joined(spans) -> str:
 
 
 def find_spans(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone: base spans; base_sha256, spans) of each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone: base spans; base_sha256, spans, n_spans, n_secret) of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
@@ -264,12 +325,12 @@ def find_spans(docs: DataFrame, model) -> DataFrame:
             for text in pdf["text"]:
                 base, spans = all_spans(text, model)
                 code = joined((k, a, b) for k in BASE_KINDS for a, b in base[k])
-                rows.append((*(len(base[k]) for k in BASE_KINDS), hashlib.sha256(code.encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*(len(base[k]) for k in BASE_KINDS), hashlib.sha256(code.encode()).hexdigest(), joined(spans), len(spans), sum(k == "secret" for k, _, _ in spans)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_secret"])
             out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_secret long")
 
 
 def redact(docs: DataFrame, model) -> DataFrame:
