@@ -4,18 +4,19 @@ The page becomes a tree of elements.  Every paragraph gives points to its parent
 and half as many to its grandparent: one, one for each comma, and one for each
 100 characters up to three.  An element's points are discounted by the share of
 its text that stands in links.  The best element is the article; siblings that
-score a fifth of it, or are long paragraphs with few links, belong to it.  The
+score a fifth of it, are long paragraphs with few links, or hold paragraphs that
+end like sentences and no link, belong to it.  The
 blocks of these, in page order, make the text; what is never content (scripts,
 menus, forms, asides and the like, by tag, role or class name) is left out.  A
-class name leaves out nothing that holds most of the text of the page's articles,
-or of its paragraphs if it has no article, and counts for nothing where the
-text would be empty.
+class name or a form leaves out nothing that holds most of the text of the page's
+articles, or of its paragraphs if it has no article, and counts for nothing where
+the text would be empty.
 
 Defined results: a null or empty page gives an empty text; without paragraphs
 the best element is the body; unclosed tags are closed where HTML closes them;
 white space inside a block becomes one space, blocks are joined by two line
-feeds; character references are decoded once; pages are read whole, in linear
-time; repeated rows are read each.
+feeds; character references are decoded once; pages are read whole, to any depth,
+in linear time; repeated rows are read each; a null page_id stays null.
 """
 
 from __future__ import annotations
@@ -32,18 +33,21 @@ from skyfold.llm.session import bound_batches
 #: Fixed values of HTML: elements without content, blocks, and never-content elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("script style noscript template head title nav footer header aside form button select textarea option iframe svg canvas object dialog menu".split())
+NEVER = frozenset("script style noscript template head title nav footer header aside button select textarea option iframe svg canvas object dialog menu".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 #: A new element of the first kind closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+NEVER_ROLES = frozenset("navigation banner contentinfo complementary dialog alert menu menubar".split())
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar|widget|footer|header|masthead|comments?|disqus|replies|respond|share|social|related|recommend\w*|newsletter|subscribe|subscription|login|signup|pagination|pager|skip|toolbar|tags?)(?=$|[\s_-])", re.I)
 #: Names of what readers write: it can be longer than the article.
 REPLIES = frozenset("comment comments disqus replies respond".split())
 SIBLING_SHARE = 0.2
 SPACE = re.compile(r"\s+")
-#: Elements nested deeper than this are read as children of the one at this depth.
-DEEPEST = 400
+#: How a sentence ends.
+SENTENCE_END = (".", "!", "?", "…", "。", ":", '."', ".”", ".»")
+#: Elements over whose borders a paragraph, or a list item or cell, is not closed by a new one.
+PARAGRAPH_BORDERS = BLOCK - {"p"}
+ITEM_BORDERS = frozenset("ul ol dl table select".split())
 
 
 class Element:
@@ -55,47 +59,59 @@ class Element:
 
 
 class Tree(HTMLParser):
+    """Builds the elements; ``open`` is the path to the current one and ``places`` has the places of each tag in it."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Element("#root", None, False)
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def _last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else 0
+
+    def _pop_to(self, k: int) -> None:
+        for e in self.open[k:]:
+            self.places[e.tag].pop()
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body", "head") and any(e.tag == tag for e in self.open[:4]):
+        if tag in ("html", "body", "head") and self._last(tag):
             return
-        if tag in BLOCK and any(e.tag == "p" for e in self.open[-40:]):
-            self._close("p", BLOCK - {"p"})
-        if tag in CLOSES:
-            for other in CLOSES[tag]:
-                if any(e.tag == other for e in self.open[-6:]):
-                    self._close(other, {"ul", "ol", "dl", "table", "select"})
+        if tag in BLOCK:
+            self._close("p", PARAGRAPH_BORDERS)
+        for other in CLOSES.get(tag, ()):
+            self._close(other, ITEM_BORDERS)
         named = dict(attrs)
+        inside = self._last("article") or self._last("main")
         names = frozenset()
         if tag not in ("body", "html", "article", "main") and ("class" in named or "id" in named):
             names = frozenset(x.strip().strip("_-").lower() for x in UNLIKELY.findall(f"{named.get('class') or ''} {named.get('id') or ''}"))
-            if names == {"header"} and any(e.tag in ("article", "main") for e in self.open):
+            if names == {"header"} and inside:
                 names = frozenset()
+        if tag == "form" or named.get("role") in ("form", "search"):
+            names |= {"form"}
         hidden = "hidden" in named or named.get("aria-hidden") == "true"
-        own_header = tag == "header" and any(e.tag in ("article", "main") for e in self.open)
+        own_header = tag == "header" and inside
         skip = (tag in NEVER and not own_header) or (named.get("role") or "") in NEVER_ROLES or hidden
         parent = self.open[-1]
         e = Element(tag, parent, skip, names)
         parent.children.append(e)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(e)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._pop_to(len(self.open) - 1)
 
-    def _close(self, tag, stop=frozenset()):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stop:
-                return
+    def _close(self, tag, borders=frozenset()):
+        """Close the last open element of this tag and all in it, unless a border lies between."""
+        k = self._last(tag)
+        if k and not any(self._last(x) > k for x in borders):
+            self._pop_to(k)
 
     def handle_endtag(self, tag):
         if tag not in VOID:
@@ -210,6 +226,29 @@ def _blocks(e: Element, out: list[str]) -> None:
     flush()
 
 
+def _prose(e: Element) -> bool:
+    """Whether ``e`` has no link and only paragraphs, or is one, that end like sentences: a lead or a closing paragraph."""
+    if e.skip or e.link_chars or not e.chars or e.tag not in ("p", "div", "section"):
+        return False
+    found, stack = False, [e]
+    while stack:
+        x = stack.pop()
+        if x.tag == "p":
+            out: list[str] = []
+            _blocks(x, out)
+            if out and not out[-1].endswith(SENTENCE_END):
+                return False
+            found = found or bool(out)
+            continue
+        for c in x.children:
+            if isinstance(c, str):
+                if c.strip():
+                    return False
+            elif not c.skip and c.chars:
+                stack.append(c)
+    return found
+
+
 def main_text(html) -> str:
     if not isinstance(html, str) or not html:
         return ""
@@ -239,7 +278,7 @@ def _main_text(root: Element, by_name: bool) -> str:
             if isinstance(s, str) or s.skip:
                 continue
             few_links = s.link_chars <= 0.25 * s.chars
-            if s is best or s.points >= floor or (s.tag == "p" and few_links and s.chars > 80) or (s.tag in ("h1", "h2") and few_links and s.chars):
+            if s is best or s.points >= floor or (s.tag == "p" and few_links and s.chars > 80) or (s.tag in ("h1", "h2") and few_links and s.chars) or _prose(s):
                 chosen.append(s)
     out: list[str] = []
     for e in chosen:
