@@ -13,13 +13,21 @@ part of the corpus.  Equal segments collapse to one content with its smallest
 doc_id, by a map-side aggregate, so a group of copies with a third of all rows
 is indexed once.
 
+A minimizer whose contents are many (a passage that a third of all documents
+hold in ever new variants) is thinned before that: its windows are counted by
+hash over its contents, and contents are cut to the runs of windows that two of
+them share.  What is left of near copies are stretches of the common passage,
+which collapse again, so the contents of a minimizer grow with the repeated
+text and not with the documents that hold it.
+
 The contents of a shard are indexed by a compressed FM-index and searched
 backwards in it.  The matching statistics at ``WIDTH`` give, for each window,
 the class of all its occurrences and so the smallest doc_id among them; runs of
 windows with one answer are the intervals that are reported.  An index takes
 about ``SHARD_WORDS`` words, cut between minimizers.  A minimizer with more
-contents than that is indexed in parts and its windows are searched in each
-part, which needs more time but no more memory, and loses nothing.
+shared contents than that is indexed in parts and its windows are searched in
+each part: an index keeps its size, but the contents of one minimizer are held
+by one task.
 
 Intervals return to their documents by doc_id and a hash of the text.
 
@@ -40,11 +48,13 @@ from pyspark.sql import functions as F
 
 from skyfold.llm import textnp
 from skyfold.llm.fm_index import FMIndex
-from skyfold.llm.session import bound_batches, materialise
+from skyfold.llm.session import bound_batches, discard, materialise
 
 WIDTH = 50
 GRAM = 8
 SHARD_WORDS = 1_500_000
+#: A minimizer with more contents than this is thinned first.
+CROWD = 64
 U = np.uint64
 
 
@@ -134,8 +144,8 @@ def _runs(rows: list[tuple], width: int = WIDTH, shard_words: int = SHARD_WORDS)
         text[place] = codes + 1
         holder = np.full(len(text), np.iinfo(np.int64).max)
         holder[place] = np.repeat(least[part], lengths[part])
-        index = FMIndex(text, width)
-        minima = index.class_minima(holder)
+        index = FMIndex(text, width, holder)
+        minima = index.minima
         if len(parts) == 1:
             flat = np.concatenate(best)
             offset = np.concatenate([[0], np.cumsum(lengths - width + 1)[:-1]])
@@ -173,6 +183,53 @@ def _shards(batches):
         yield out(rows)
 
 
+def window_hashes(words: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window of a content."""
+    w = np.frombuffer(words, U)
+    power, inverse = textnp._powers(len(w) + 1)
+    n = len(w) - width + 1
+    out = []
+    for v in (w, textnp.mix64(w ^ U(0x5851F42D4C957F2D))):
+        sums = np.zeros(len(w) + 1, U)
+        np.cumsum(v * power[: len(w)], out=sums[1:])
+        out.append(textnp.mix64((sums[width:] - sums[:n]) * inverse[:n]).view(np.int64))
+    return out[0], out[1]
+
+
+def _windows(batches):
+    for pdf in batches:
+        for c1, c2, words in zip(pdf["c1"], pdf["c2"], pdf["words"]):
+            w1, w2 = window_hashes(words)
+            yield pd.DataFrame({"w1": w1, "w2": w2, "c1": c1, "c2": c2, "at": np.arange(len(w1), dtype=np.int32)})
+
+
+def _cut(batches):
+    """Contents with the places of their shared windows -> the runs of those, as contents of their own with where they come from."""
+    for pdf in batches:
+        rows = []
+        for key, c1, c2, least, words, places in zip(pdf["key"].tolist(), pdf["c1"].tolist(), pdf["c2"].tolist(), pdf["least"].tolist(), pdf["words"], pdf["places"]):
+            p = np.sort(np.asarray(places))
+            edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1] + 1]))
+            for a, b in zip(p[edge].tolist(), p[np.append(edge[1:], len(p)) - 1].tolist()):
+                part = words[a * 8 : (b + WIDTH) * 8]
+                w = np.frombuffer(part, U)
+                h1, h2 = (int(textnp.grams(x, len(x))[0].astype(np.int64)) for x in (w, textnp.mix64(w ^ U(0xA5A5A5A5A5A5A5A5))))
+                rows.append((key, c1, c2, a, h1, h2, least, part))
+        yield pd.DataFrame(rows, columns=["key", "c1", "c2", "shift", "h1", "h2", "least", "words"])
+
+
+def thinned(crowd: DataFrame) -> DataFrame:
+    """Contents (key, c1, c2, least, words) of crowded minimizers -> the stretches of them that two contents share: (key, c1, c2, shift, h1, h2, least, words)."""
+    windows = crowd.select("c1", "c2", "words").mapInPandas(_windows, "w1 long, w2 long, c1 long, c2 long, at int")
+    windows = materialise(windows)
+    # Equal windows of one content count too: a window is left out only if it stands at one place.
+    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    places = windows.join(shared, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list("at").alias("places"))
+    out = materialise(crowd.join(places, ["c1", "c2"]).mapInPandas(_cut, "key long, c1 long, c2 long, shift int, h1 long, h2 long, least long, words binary"))
+    discard(windows)
+    return out
+
+
 def _judged(batches):
     for pdf in batches:
         rows = []
@@ -200,14 +257,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
     seg = "key long, c1 long, c2 long, doc_id long, th long, start int, windows int"
-    found = materialise(d.filter("doc_id is not null").select("doc_id", "th", "text").mapInPandas(_segments, seg))
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    found = materialise(found.join(shared, "key", "left_semi"))
+    every = materialise(d.filter("doc_id is not null").select("doc_id", "th", "text").mapInPandas(_segments, seg))
+    shared = every.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+    found = materialise(every.join(shared, "key", "left_semi"))
+    discard(every)
     content = found.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "th", "start", "windows", "key")).alias("at"))
     asked = content.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.key").alias("key"), "c1", "c2", F.col("at.doc_id").alias("least"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))).alias("wanted"))
     texts = d.join(asked, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    words = texts.select("text", "wanted").mapInPandas(_contents, "key long, c1 long, c2 long, least long, words binary")
-    runs = words.repartition("key").sortWithinPartitions("key").mapInPandas(_shards, "c1 long, c2 long, first array<int>, end array<int>, least array<long>")
+    words = materialise(texts.select("text", "wanted").mapInPandas(_contents, "key long, c1 long, c2 long, least long, words binary"))
+    sizes = words.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    crowded = materialise(words.join(sizes.select("key"), "key", "left_semi"))
+    simple = words.join(sizes.select("key"), "key", "left_anti")
+    cut = thinned(crowded)
+    again = cut.groupBy("key", "h1", "h2").agg(F.min("least").alias("least"), F.first("words").alias("words"))
+    indexed = simple.union(again.select("key", F.col("h1").alias("c1"), F.col("h2").alias("c2"), "least", "words"))
+    runs = indexed.repartition("key").sortWithinPartitions("key").mapInPandas(_shards, "c1 long, c2 long, first array<int>, end array<int>, least array<long>")
+    runs = materialise(runs)
+    parts = cut.select("h1", "h2", "c1", "c2", "shift").join(runs.withColumnsRenamed({"c1": "h1", "c2": "h2"}), ["h1", "h2"])
+    moved = lambda c: F.transform(c, lambda x: x + F.col("shift"))
+    # A crowded content's own documents share it whole.
+    whole = crowded.select("c1", "c2", F.array(F.lit(0)), F.array((F.length("words") / 8).cast("int") - (WIDTH - 1)), F.array("least"))
+    runs = runs.union(parts.select("c1", "c2", moved("first").alias("first"), moved("end").alias("end"), "least")).union(whole)
+    discard(words)
     hits = found.join(runs, ["c1", "c2"]).filter(F.array_min("least") < F.col("doc_id"))
     hits = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "first", "end", "least")).alias("found"))
     out = d.join(hits, ["doc_id", "th"], "left").select("doc_id", "text", "found")
