@@ -150,7 +150,9 @@ def test_lines_odd_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_substrings(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     rng = random.Random(9)
     vocab = [f"v{i}" for i in range(300)]
     shared = [[rng.choice(vocab) for _ in range(n)] for n in (50, 60, 120)]
@@ -350,7 +352,6 @@ def test_counterfactual_penalty():
     free, _ = toxicity._logistic(rows, np.array(y, float), [], 4, 0.0)
     bound, _ = toxicity._logistic(rows, np.array(y, float), pairs, 4, 10.0)
     assert abs(bound[2] - bound[3]) < 0.3 * abs(free[2] - free[3])
-    assert toxicity.swapped("the muslims came") == toxicity.features("the jews came")
 
 
 def naive_spans(t):
