@@ -7,7 +7,9 @@ EARTH_M = 6371000.0
 
 
 def dms_to_degrees(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
-    value = degrees + minutes / 60.0 + seconds / 3600.0
+    """Decimal degrees; a part that is no number makes NaN."""
+    number = lambda c: F.coalesce(c.try_cast("double"), F.lit(float("nan")))
+    value = number(degrees) + number(minutes) / 60.0 + number(seconds) / 3600.0
     return F.when(F.upper(ref).isin("S", "W"), -value).otherwise(value)
 
 
@@ -69,3 +71,15 @@ def parse_points(points: Column) -> Column:
     """``x,y;x,y`` as a ring; empty pairs are skipped."""
     pairs = F.filter(F.split(points, ";"), lambda p: F.length(F.trim(p)) > 0)
     return F.transform(pairs, lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("x"), F.split(p, ",")[1].cast("double").alias("y")))
+
+
+def crop_window(cx: Column, cy: Column, half: int, width: Column, height: Column) -> Column:
+    """A square window around a point, moved inwards where it would leave the image."""
+    x = F.greatest(F.lit(half), F.least(width - half, cx))
+    y = F.greatest(F.lit(half), F.least(height - half, cy))
+    return F.struct((x - half).alias("x0"), (y - half).alias("y0"), (x + half).alias("x1"), (y + half).alias("y1"))
+
+
+def approximate_pixels(patches: Column, px_per_patch: Column) -> Column:
+    """Pixels that so many patches stand for, cut to a whole number."""
+    return (patches * px_per_patch).cast("long")

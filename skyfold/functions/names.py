@@ -37,5 +37,15 @@ def metric_label(name: Column, labels: dict[str, str] | None = None) -> Column:
 
 
 def three_places(value: Column) -> Column:
-    """A number with three decimals, or n/a."""
-    return F.when(value.isNotNull(), F.format_string("%.3f", value)).otherwise(F.lit("n/a"))
+    """A number with three decimals, ties to the even one, or n/a."""
+    tie = F.abs(value * 2000 % 2) == 1
+    return F.when(value.isNotNull(), F.format_string("%.3f", F.when(tie, F.bround(value.cast("double"), 3)).otherwise(value.cast("double")))).otherwise(F.lit("n/a"))
+
+
+def shown(value: Column, kind: str) -> Column:
+    """A value as a report shows it: numbers with three decimals, truth as yes or no, else as text."""
+    if kind in ("double", "float"):
+        return three_places(value)
+    if kind == "boolean":
+        return F.when(value, "yes").when(~value, "no").otherwise("n/a")
+    return F.coalesce(value.cast("string"), F.lit("n/a"))

@@ -138,3 +138,20 @@ def sliding_mean(signal: DataFrame, by: str, extent: int, side: int, stride: int
     means = w.groupBy(by, "w").agg(F.avg(value).alias("m"))
     covers = means.withColumn("x", F.explode(F.sequence(F.col("w"), F.least(F.col("w") + side, F.lit(extent)) - 1)))
     return covers.groupBy(by, "x").agg(F.avg("m").alias("mean"))
+
+
+def window_starts(extent: int, side: int, stride: int) -> list[int]:
+    """Where windows along one axis begin; the last ends at the edge."""
+    last = max(extent - side, 0)
+    return sorted({min(s, last) for s in range(0, last + stride, stride)})
+
+
+def sliding_mean_2d(cells: DataFrame, by: str, extent: int, side: int, stride: int, value: str = "value") -> DataFrame:
+    """(by, r, c, mean): each cell's mean over the square windows that cover it of the windows' means; the last ones end at the edge."""
+    starts = F.array(*[F.lit(s) for s in window_starts(extent, side, stride)])
+    hold = lambda at: F.explode(F.filter(starts, lambda s: (s <= F.col(at)) & (F.col(at) < s + side)))
+    w = cells.withColumn("wr", hold("r")).withColumn("wc", hold("c"))
+    means = w.groupBy(by, "wr", "wc").agg(F.avg(value).alias("m"))
+    span = lambda at: F.explode(F.sequence(F.col(at), F.least(F.col(at) + side, F.lit(extent)) - 1))
+    covers = means.withColumn("r", span("wr")).withColumn("c", span("wc"))
+    return covers.groupBy(by, "r", "c").agg(F.avg("m").alias("mean"))
