@@ -5,19 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def home(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only for a local session where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skyfold-"))
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back; a temporary folder only where that is unset."""
+    """``df`` written to the shared folder and read back; the table goes with the session."""
     spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        home = "file://" + tempfile.mkdtemp(prefix="skyfold-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    path = f"{home}/step-{uuid.uuid4().hex}"
+    path = f"{home(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
