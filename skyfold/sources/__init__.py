@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skyfold.functions.geo import parse_points
 
 #: Image extensions, and the shape elements of an annotation file.
-IMAGES = ("jpg", "jpeg", "png", "tif", "tiff")
+IMAGES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp")
 SHAPES = ("polygon", "box", "mask", "polyline", "points", "ellipse", "cuboid")
 FRAME_SCHEMA = "path string, name string, bytes long, width int, height int, captured_at timestamp, exif_error string, lat double, lon double, alt double"
 CVAT_SCHEMA = "_id long, _name string, _width int, _height int, " + ", ".join(f"{s} array<struct<_label:string,_points:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double>>" for s in SHAPES)
