@@ -52,6 +52,8 @@ def hash_rank(groups: DataFrame, key: str, seed: str, by: list[str] | None = Non
 
 def group_split(rows: DataFrame, group: str, share: float, seed: str = "0:", rounding: str = "ceil") -> DataFrame:
     """(group, split): whole groups go to val or train; sizes by ceil, or by half-even rounding and at least one."""
+    if not 0 <= share < 1:
+        raise ValueError(f"a share of {share} leaves nothing to train on")
     g = hash_rank(rows, group, seed)
     size = F.ceil(F.col("groups") * share) if rounding == "ceil" else F.greatest(F.lit(1), F.bround(F.col("groups") * share))
     return g.select(group, F.when(F.col("rank") <= size, "val").otherwise("train").alias("split"))
@@ -76,12 +78,44 @@ def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
     return z.select(F.col("z.l.g").alias(group), (-F.col("z.l.neg")).alias("n"), F.col("z.f").alias("fold"))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 0, vector: str = "v") -> DataFrame:
+def kmeans(rows: DataFrame, k: int, seed: int = 0, vector: str = "v", starts: int = 10) -> DataFrame:
+    """``rows`` with their cluster, of the start whose clusters are tightest."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = rows.withColumn("features", array_to_vector(vector))
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data).transform(data).drop("features")
+    data = rows.withColumn("features", array_to_vector(vector)).cache()
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(data) for i in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
+    return best.transform(data).drop("features")
+
+
+def pseudo_labels(rows: DataFrame, cluster: str, refs: DataFrame, positive, by: str = "tile") -> DataFrame:
+    """``rows`` (by, cluster, v) with y = 1 for the clusters whose mean points most towards the positive reference (label, centroid)."""
+    from skyfold.functions.vectors import cosine
+
+    means = centroids(rows.withColumn("__k", F.struct(by, cluster)), "__k").select("__k", F.col("centroid").alias("v"))
+    near = nearest(means, refs, "label", lambda c: cosine(F.col("v"), c)).select("__k", (F.col("label") == positive).cast("int").alias("y"))
+    return rows.join(near.select(F.col(f"__k.{by}").alias(by), F.col(f"__k.{cluster}").alias(cluster), "y"), [by, cluster])
+
+
+def prompt_embeddings(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n, centroid): the mean of each class's vectors, at unit length."""
+    return centroids(rows, by).withColumn("centroid", normalise(F.col("centroid")))
+
+
+def saliency(patches: DataFrame, by: str) -> DataFrame:
+    """``patches`` (by, v, whole) with the min-max cosine to the whole image's vector, and whether it is above the image's mean."""
+    from skyfold.functions.vectors import cosine
+
+    s = min_max(patches.withColumn("__c", F.round(cosine(F.col("v"), F.col("whole")), 9)), by, "__c").withColumn("heat", F.round("heat", 6))
+    return s.withColumn("foreground", F.col("heat") > F.avg("heat").over(Window.partitionBy(by))).drop("__c")
+
+
+def seeded_sample(rows: DataFrame, key: str, share: float, seed: str = "0:") -> DataFrame:
+    """The keys of a sample without replacement: round(n * share), half to even, by a seeded hash."""
+    g = hash_rank(rows, key, seed)
+    return g.filter(F.col("rank") <= F.bround(F.col("groups") * share)).select(key)
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:

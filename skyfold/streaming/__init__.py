@@ -38,6 +38,18 @@ def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return spark.readStream.format(fmt).schema(schema).load(path)
 
 
+def build_new(spark: SparkSession, folder: str, out: str, progress: str, schema: str, make, fmt: str = "parquet") -> int:
+    """Apply ``make`` to files that no earlier call has seen and add the rows to ``out``; how many rows were added.
+
+    ``progress`` is the folder that remembers the files; a call that is cut off is
+    taken up by the next one, each file once.
+    """
+    done = file_stream(spark, folder, schema, fmt)
+    query = make(done).writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).outputMode("append").start(out)
+    query.awaitTermination()
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
 def latest(updates: DataFrame, key: str = "name") -> DataFrame:
     """The last update of each key from (key, state, batch)."""
     return updates.groupBy(key).agg(F.max_by("state", "batch").alias("state"))
