@@ -8,7 +8,6 @@ from skyfold.functions import geo, names
 from skyfold.functions.vectors import cosine, dot, squared_distance
 from skyfold.operators import evaluate as ev
 from skyfold.operators import grid, tiling, triage, vector
-from skyfold.operators.stored import stored
 from skyfold.plans import fixtures as fx
 from skyfold.plans.fixtures import GRID, sql, table
 
@@ -359,48 +358,6 @@ def component_boxes(spark, d):
 # --- instances -------------------------------------------------------------------
 
 
-def instance_scores(pred, conf, gt):
-    """(iou, ap) at each threshold and the number of instances."""
-    pairs = ev.instance_pairs(pred, gt)
-    hits = ev.greedy_hits(conf, pairs)
-    n_gt = gt.select("tile", "inst").distinct().count()
-    each = hits.select("tile", "pred", "conf", F.posexplode("hits").alias("k", "hit"))
-    ap = ev.interpolated_ap(each, n_gt, by=("k",))
-    return ap.select(F.element_at(F.array(*[F.lit(t) for t in ev.IOU_STEPS]), F.col("k") + 1).alias("iou"), F.round("ap", 6).alias("ap"), F.lit(n_gt).cast("long").alias("n_gt"))
-
-
-@query()
-def native_instance_ap(spark, d):
-    """Predicted rectangles with their own confidence against true ones."""
-    r = fx.rects(spark, d)
-    gt, pred = gt_pred(spark, d)
-    return instance_scores(pred, r.filter("not gt").select("tile", F.col("inst").alias("pred"), "conf"), gt)
-
-
-def component_instances(cells):
-    """Components of at least 8 cells after closing and opening, as instances."""
-    m = grid.opening(grid.closing(cells.select("tile", "r", "c").distinct(), 1, GRID), 1, GRID)
-    c = stored(grid.cells_of_runs(grid.components(m)).withColumnRenamed("component", "inst"))
-    big = c.groupBy("tile", "inst").agg(F.count("*").alias("n")).filter("n >= 8")
-    return c.join(big.select("tile", "inst"), ["tile", "inst"]), big
-
-
-@query()
-def instance_ap(spark, d):
-    """Components of the predicted mask, scored by size, against true rectangles."""
-    gt, pred = gt_pred(spark, d)
-    inst, big = component_instances(pred)
-    return instance_scores(inst, big.select("tile", F.col("inst").alias("pred"), (F.col("n") / float(GRID * GRID)).alias("conf")), gt)
-
-
-@query()
-def component_ceiling(spark, d):
-    """The true masks as predictions: the best that components can score."""
-    gt, _ = gt_pred(spark, d)
-    inst, big = component_instances(gt)
-    return instance_scores(inst, big.select("tile", F.col("inst").alias("pred"), F.lit(1.0).alias("conf")), gt)
-
-
 @query(
     sql("rects")
     + """, h AS (SELECT tile, inst, conf, (cx + cy) % 3 = 0 AS hit, (SELECT count(*) FROM rects WHERE gt) AS n FROM rects WHERE NOT gt),
@@ -642,8 +599,12 @@ def sliding_window_mean(spark, d):
 
 
 def queries() -> dict:
+    """All registered queries, those of ``survey`` included."""
+    from skyfold.plans import survey  # noqa: F401 it registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(ORACLES)
