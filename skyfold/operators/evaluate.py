@@ -165,3 +165,22 @@ def table_text(rows: list[dict], html: bool = False) -> str:
         return "<table>" + line(head, "th") + "".join(line(r.values(), "td") for r in rows) + "</table>"
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
     return "\n".join([line(head), line(["---"] * len(head)), *(line(r.values()) for r in rows)])
+
+
+def quantiles(rows: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(share, value): exact quantiles, linear between neighbours; null without rows.
+
+    Distinct values are counted, and running counts over ordered ranges find the two
+    neighbours of each: no task holds all values.
+    """
+    g = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    run = running_sums(g, [F.asc("__v")], upto="__n")
+    n = run.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
+    out = rows.sparkSession.createDataFrame([(float(s), max(n - 1, 0) * float(s)) for s in shares], "share double, at double")
+    out = out.withColumn("low", F.floor("at")).withColumn("high", F.ceil("at"))
+    near = (F.col("upto") > F.col("low")) & (F.col("upto") - F.col("__n") <= F.col("high"))
+    j = run.join(F.broadcast(out), near)  # as many rows as shares
+    inside = lambda k: F.max(F.when((F.col("upto") > F.col(k)) & (F.col("upto") - F.col("__n") <= F.col(k)), F.col("__v")))
+    both = j.groupBy("share", "at", "low").agg(inside("low").alias("a"), inside("high").alias("b"))
+    both = out.join(both.drop("at", "low"), "share", "left")
+    return both.select("share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("low"))).alias(value))

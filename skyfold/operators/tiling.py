@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.geo import overlaps, tile_origins
@@ -55,18 +55,18 @@ def crib(pairs: DataFrame) -> DataFrame:
 def batches(names: DataFrame, size: int, order: str, by: list[str] | None = None) -> DataFrame:
     """Rows numbered in name order, batch number and name, and the number within the batch.
 
-    With ``by`` each group is numbered on its own.  Without it, numbers are running
-    counts over ordered ranges, so no task sorts all names.
+    With ``by`` each group is numbered on its own.  Numbers are running counts over
+    ordered ranges, so no task sorts all names or a whole group.
     """
+    one = names.withColumn("__one", F.lit(1).cast("long"))
+    out = running_sums(one, [F.col(order)], tuple(by or ()), i="__one").drop("__one").withColumn("i", F.col("i") - 1)
     if by:
-        w = Window.partitionBy(*by).orderBy(order)
-        out = names.withColumn("i", F.row_number().over(w) - 1)
-        total = F.count("*").over(Window.partitionBy(*by))
+        out = out.join(names.groupBy(*by).agg(F.count("*").alias("__all")), list(by))
+        total = F.col("__all")
     else:
-        out = running_sums(names.withColumn("__one", F.lit(1).cast("long")), [F.col(order)], i="__one").drop("__one").withColumn("i", F.col("i") - 1)
         total = F.lit(names.count())
     out = out.withColumn("batch_no", F.floor(F.col("i") / size).cast("int") + 1)
-    out = out.withColumn("batch", batch_name(F.col("batch_no"), F.ceil(total / size)))
+    out = out.withColumn("batch", batch_name(F.col("batch_no"), F.ceil(total / size))).drop("__all")
     return out.withColumn("image_id", (F.col("i") % size).cast("int"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import cos, radians, sqrt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfold.functions.geo import ground_distance, known
+from skyfold.functions.geo import EARTH_M, ground_distance, known
 
 
 def every_nth(frames: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
@@ -24,20 +26,34 @@ def spacing(frames: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def min_spacing(frames: DataFrame, metres: float, by: str, order: list[str], key: str) -> DataFrame:
     """(by, key) of the frames kept: the first of a flight, then each that is far enough from the last kept; frames without a position stay.
 
-    The dependence on the last kept row is a fold over the flight's positions,
-    so flights run in parallel and a flight is one array.
+    The choice depends on the last kept row, so it is a pass over the flight in
+    order: flights run in parallel, stream through their partition and hold only
+    the last kept position.
     """
     placed = known(F.col("lat")) & known(F.col("lon"))
-    point = F.struct(*dict.fromkeys([*order, "lat", "lon", key]))
-    flights = frames.filter(placed).groupBy(by).agg(F.array_sort(F.collect_list(point)).alias("pts"))
-    state = F.struct(F.array().cast(f"array<{dict(frames.dtypes)[key]}>").alias("kept"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-
-    def step(s: Column, p: Column) -> Column:
-        far = s["lat"].isNull() | (ground_distance(s["lat"], s["lon"], p["lat"], p["lon"]) >= metres)
-        return F.when(far, F.struct(F.array_append(s["kept"], p[key]).alias("kept"), p["lat"].alias("lat"), p["lon"].alias("lon"))).otherwise(s)
-
-    kept = flights.select(by, F.explode(F.aggregate("pts", state, step)["kept"]).alias(key))
-    return kept.unionByName(frames.filter(~placed | placed.isNull()).select(by, key))
+    rows = frames.filter(placed).select(by, *dict.fromkeys([*order, "lat", "lon", key])).repartition(by).sortWithinPartitions(by, *order)
+    names = dict.fromkeys([by, key])
+
+    def walk(batches):
+        flight, at = None, None
+        for pdf in batches:
+            keep = []
+            for f, lat, lon in zip(pdf[by], pdf["lat"], pdf["lon"]):
+                # Metres by the local equirectangular approximation, as in ``ground_distance``.
+                a, b = radians(lat), radians(lon)
+                if f != flight or at is None:
+                    far = True
+                else:
+                    x, y = (b - at[1]) * cos((at[0] + a) / 2), a - at[0]
+                    far = sqrt(x * x + y * y) * EARTH_M >= metres
+                if far:
+                    flight, at = f, (a, b)
+                keep.append(far)
+            yield pdf.loc[keep, list(names)]
+
+    kinds = dict(frames.dtypes)
+    kept = rows.mapInPandas(walk, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return kept.unionByName(frames.filter(~placed | placed.isNull()).select(*names))
 
 
 def plan(decisions: DataFrame, originals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +74,16 @@ def work_list(wanted: DataFrame, done: DataFrame, key: str, force: bool = False)
 
 
 def last_state(actions: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, state): the same action twice clears, another one replaces, ``undo`` clears; null is undecided."""
-    e = actions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "action"))).alias("e"))
-    fold = F.aggregate("e", F.lit(None).cast("string"), lambda s, x: F.when((x["action"] == "undo") | F.coalesce(s == x["action"], F.lit(False)), F.lit(None).cast("string")).otherwise(x["action"]))
-    return e.select(key, F.coalesce(fold, F.lit("undecided")).alias("state"))
+    """(key, state): the same action twice clears, another one replaces, ``undo`` clears; null is undecided.
+
+    Only the trailing run of equal actions matters: it decides if its length is odd.
+    The last action and the last time of each action are partial aggregates; the run
+    is what follows the last other action.
+    """
+    at = F.struct(*order)
+    per = actions.groupBy(key, "action").agg(F.max(at).alias("at"))
+    last = per.groupBy(key).agg(F.max(F.struct("at", "action")).alias("m")).select(key, F.col("m.action").alias("__last"))
+    other = per.join(last, key).filter(F.col("action") != F.col("__last")).groupBy(key).agg(F.max("at").alias("__other"))
+    run = actions.select(key, "action", at.alias("at")).join(last, key).filter(F.col("action") == F.col("__last")).join(other, key, "left")
+    n = run.filter(F.col("__other").isNull() | (F.col("at") > F.col("__other"))).groupBy(key, "__last").agg(F.count("*").alias("n"))
+    return n.select(key, F.when((F.col("__last") != "undo") & (F.col("n") % 2 == 1), F.col("__last")).otherwise("undecided").alias("state"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions.vectors import normalise, squared_distance
+from skyfold.operators.stored import running_sums
 
 
 def centroids(rows: DataFrame, by: str, vector: str = "v") -> DataFrame:
@@ -44,10 +46,16 @@ def softmax(rows: DataFrame, by: list[str], logit: str) -> DataFrame:
 
 
 def hash_rank(groups: DataFrame, key: str, seed: str, by: list[str] | None = None) -> DataFrame:
-    """Distinct keys with their rank by a seeded hash, and how many there are, of all or of each group."""
-    g = groups.select(key, *(by or [])).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    w = Window.partitionBy(*(by or []))
-    return g.withColumn("rank", F.row_number().over(w.orderBy("h", key))).withColumn("groups", F.count("*").over(w))
+    """Distinct keys with their rank by a seeded hash, and how many there are, of all or of each group.
+
+    Ranks are running counts over ordered ranges: no task sorts all keys.
+    """
+    by = tuple(by or ())
+    g = groups.select(key, *by).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("__one", F.lit(1).cast("long"))
+    ranked = running_sums(g, [F.col("h"), F.col(key)], by, rank="__one").drop("__one")
+    if by:
+        return ranked.join(ranked.groupBy(*by).agg(F.count("*").alias("groups")), list(by))
+    return ranked.withColumn("groups", F.lit(ranked.count()).cast("long"))
 
 
 def group_split(rows: DataFrame, group: str, share: float, seed: str = "0:", rounding: str = "ceil") -> DataFrame:
@@ -62,20 +70,23 @@ def group_split(rows: DataFrame, group: str, share: float, seed: str = "0:", rou
 def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
     """(group, n, fold): groups by size, each to the fold that holds least so far; ties to the lower fold.
 
-    The greedy choice depends on all before it, so it is a fold over one array
-    of (group, size): as many entries as there are groups.
+    The greedy choice depends on all before it, so the counted groups pass through
+    one task in order, which holds the loads only: as many rows as there are groups.
     """
-    g = rows.groupBy(group).agg(F.count("*").alias("n"))
-    one = g.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col(group).alias("g")))).alias("l"))
-    state = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<int>").alias("folds"))
-
-    def step(s, x):
-        f = F.array_position(s["load"], F.array_min(s["load"])).cast("int")
-        load = F.transform(s["load"], lambda v, i: F.when(i == f - 1, v - x["neg"]).otherwise(v))
-        return F.struct(load.alias("load"), F.array_append(s["folds"], f - 1).alias("folds"))
-
-    z = one.select(F.explode(F.arrays_zip("l", F.aggregate("l", state, step)["folds"].alias("f"))).alias("z"))
-    return z.select(F.col("z.l.g").alias(group), (-F.col("z.l.neg")).alias("n"), F.col("z.f").alias("fold"))
+    kind = dict(rows.dtypes)[group]
+    g = rows.groupBy(group).agg(F.count("*").alias("n")).repartition(1).sortWithinPartitions(F.desc("n"), group)
+
+    def deal(batches):
+        load = [0] * k
+        for pdf in batches:
+            folds = []
+            for n in pdf["n"].tolist():
+                f = load.index(min(load))
+                load[f] += n
+                folds.append(f)
+            yield pdf.assign(fold=np.array(folds, np.int32))
+
+    return g.mapInPandas(deal, f"`{group}` {kind}, n long, fold int")
 
 
 def kmeans(rows: DataFrame, k: int, seed: int = 0, vector: str = "v", starts: int = 10) -> DataFrame:

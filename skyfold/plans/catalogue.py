@@ -265,8 +265,8 @@ def border_clipped(spark, d):
 @query(sql("rects") + ", a AS (SELECT (x1 - x0) * (y1 - y0) / 1024.0::DOUBLE AS s FROM rects) SELECT round(quantile_cont(s, 0.05), 6) AS p05, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95 FROM a")
 def geometry_quantiles(spark, d):
     s = polygons(spark, d).select((geo.shoelace(F.col("ring")) / 1024.0).alias("s"))
-    q = s.agg(F.percentile("s", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return q.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    q = ev.quantiles(s, "s", (0.05, 0.5, 0.95))
+    return q.agg(*[F.round(F.max(F.when(F.col("share") == t, F.col("s"))), 6).alias(n) for t, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))])
 
 
 @query(sql("rects", "cells") + " SELECT tile, gt, count(DISTINCT r * 32 + c) AS cells FROM cells GROUP BY tile, gt")
