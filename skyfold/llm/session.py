@@ -33,9 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[spark.sparkContext.applicationId]
 
 
-def _hadoop(spark: SparkSession, path: str):
+def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Delete a folder, now or when the session's JVM ends."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        fs.deleteOnExit(where)
+    else:
+        fs.delete(where, True)
 
 
 @contextlib.contextmanager
@@ -52,19 +57,19 @@ def shuffles_removed(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs the tasks of later stages only.
-    The table goes when ``discard`` is called, or with the session.
+    The table goes when ``discard`` is called, or with the session.  ``codec``: snappy
+    for a table whose columns are read several times, zstd for others.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyfold-{uuid.uuid4().hex}"
     schema = df.schema
     with shuffles_removed(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    fs, where = _hadoop(spark, path)
-    fs.deleteOnExit(where)
+        df.write.option("compression", codec).parquet(path)
+    remove(spark, path, at_exit=True)
     out = spark.read.schema(schema).parquet(path)
     out._skyfold_path = path
     return out
@@ -73,8 +78,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def discard(*steps: DataFrame) -> None:
     """Delete the tables of ``materialise`` that nothing reads any more."""
     for step in steps:
-        fs, where = _hadoop(step.sparkSession, step._skyfold_path)
-        fs.delete(where, True)
+        remove(step.sparkSession, step._skyfold_path)
 
 
 def bound_batches(spark: SparkSession) -> None:

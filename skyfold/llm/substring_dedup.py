@@ -223,10 +223,11 @@ def thinned(crowd: DataFrame) -> DataFrame:
     windows = crowd.select("c1", "c2", "words").mapInPandas(_windows, "w1 long, w2 long, c1 long, c2 long, at int")
     windows = materialise(windows)
     # Equal windows of one content count too: a window is left out only if it stands at one place.
-    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    # Written, so that the join reads two plain shuffles and a common window's rows can be split.
+    shared = materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
     places = windows.join(shared, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list("at").alias("places"))
     out = materialise(crowd.join(places, ["c1", "c2"]).mapInPandas(_cut, "key long, c1 long, c2 long, shift int, h1 long, h2 long, least long, words binary"))
-    discard(windows)
+    discard(windows, shared)
     return out
 
 
