@@ -99,6 +99,41 @@ o AS (SELECT d.doc_id, d.size, s8.source_size, s8.target, s8.whole, s8.rest,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source)
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM o""",
+    "op2_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.i >= 75 * (x.n + y.n - p.i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op3_lines": r"""
+WITH l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+m AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM l),
+f AS (SELECT doc_id, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM m WHERE worded) WHERE k = 1),
+t AS (SELECT DISTINCT doc_id, i, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM f)),
+n AS (SELECT doc_id, i, count(*) AS n FROM t GROUP BY 1, 2),
+p AS (SELECT a.doc_id AS ad, a.i AS ai, b.doc_id AS bd, b.i AS bi, count(*) AS s FROM t a JOIN t b ON a.g = b.g AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i)) GROUP BY 1, 2, 3, 4),
+gone AS (SELECT DISTINCT bd AS doc_id, bi AS i FROM p JOIN n x ON x.doc_id = ad AND x.i = ai JOIN n y ON y.doc_id = bd AND y.i = bi WHERE 4 * s >= 3 * (x.n + y.n - s)),
+kept AS (SELECT doc_id, i, line FROM m WHERE NOT worded UNION ALL SELECT doc_id, i, line FROM m SEMI JOIN f USING (doc_id, i) ANTI JOIN gone USING (doc_id, i)),
+j AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+  (CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END - coalesce(j.n, 0))::BIGINT AS n_removed,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(j.kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN j USING (doc_id)""",
+    "op9_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+g AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h),
+b AS (SELECT DISTINCT doc_id, i + unnest(range(50)) AS i FROM (SELECT doc_id, i FROM v JOIN g USING (h) WHERE least < doc_id)),
+k AS (SELECT doc_id, i, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+j AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM k ANTI JOIN b USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(j.n, 0))::BIGINT AS n_removed, sha256(coalesce(j.kept, '')) AS kept_sha256
+FROM w LEFT JOIN j USING (doc_id)""",
     "op4_decontaminate": r"""
 WITH w AS (
   SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
