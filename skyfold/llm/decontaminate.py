@@ -44,8 +44,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SLOTS = 48
 SMALLEST = 16
-#: About 60 MB of signatures and shingles a block, for items of 100 words.
-ITEMS_PER_BLOCK = 50_000
+#: The most a block of items may have: rows (a signature each) and characters of text (some two bytes of shingles each); about 60 MB.
+ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 50_000, 20_000_000
 U = np.uint64
 
 
@@ -167,7 +167,8 @@ def contained(texts: list, index: dict) -> list[tuple[int, int, int, int]]:
 def _blocks(items: DataFrame):
     """The items in blocks of rows for the driver, split by hash."""
     rows = items.select(F.col(items.columns[0]).alias("i"), F.col("text").alias("t"))
-    n = max(1, -(-rows.count() // ITEMS_PER_BLOCK))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    n = max(1, -(-size["n"] // ITEMS_PER_BLOCK), -(-size["chars"] // CHARS_PER_BLOCK))
     for k in range(n):
         block = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r.i, r.t) for r in block.toLocalIterator()]

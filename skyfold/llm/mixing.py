@@ -68,6 +68,9 @@ def water_levels(sources: DataFrame, pattern=(3, 1, 2), share: float = 1.5, max_
 def mix_sources(docs: DataFrame, pattern=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix:") -> DataFrame:
     """``docs`` with size, source_size, target, whole (repetitions), extra (words of the fractional one) and taken."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    # Other columns travel under numbers, so that none has a name of a step here.
+    own = {c: c if c in ("doc_id", "text", "source") else f"__own_{k}" for k, c in enumerate(docs.columns)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
     d = docs.withColumn("size", word_count(F.col("text"))).withColumn("__h", hash_order(F.col("doc_id"), seed))
     d = d.withColumn("__slice", F.shiftright("__h", 60 - SLICES_LOG2).cast("int"))
     slices = materialise(d.groupBy("source", "__slice").agg(F.sum("size").alias("words")))
@@ -93,7 +96,7 @@ def mix_sources(docs: DataFrame, pattern=(3, 1, 2), share: float = 1.5, max_epoc
     sorted_slice = sorted_slice.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - F.col("__before"))).cast("long"))
     others = d.filter(~at_cut).withColumn("extra", F.when(F.col("__slice") < F.col("__cut"), F.col("size")).otherwise(F.lit(0)).cast("long"))
     out = others.select(*docs.columns, *ADDED[:5]).unionByName(sorted_slice.select(*docs.columns, *ADDED[:5]))
-    return out.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], *ADDED[:5], (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def mixture(mixed: DataFrame) -> DataFrame:

@@ -221,3 +221,34 @@ def test_empty_and_odd_tables(spark):
     assert pii.find_spans(none, None).count() == 0
     long = spark.createDataFrame([(1, "call 200-555-1234 now " * 3000)], "doc_id long, text string")
     assert pii.find_spans(long.union(long), pii.fit(long)).collect()[1].n_spans == 3000
+
+
+def test_names_that_clash(spark):
+    from skyfold.llm import mixing, queries, url_filter
+
+    d = spark.createDataFrame([(1, "a b c", "s", 7, "x"), (2, "d e", "s", 8, "y"), (3, None, None, 9, None)], "doc_id long, text string, source string, __h int, __slice string")
+    out = mixing.mix_sources(d)
+    assert out.columns == ["doc_id", "text", "source", "__h", "__slice", "size", "source_size", "target", "whole", "extra", "taken"]
+    assert {r.doc_id: (r.asDict()["__h"], r.asDict()["__slice"]) for r in out.collect()} == {1: (7, "x"), 2: (8, "y"), 3: (9, None)}
+    p = spark.createDataFrame([("http://a.com/en/x", 1, "q"), (None, 2, "r")], "path string, __n int, __fit string")
+    got = url_filter.filter_urls(p, url_filter.rule_table(spark, queries.URL_RULES), "path")
+    assert got.columns == ["__n", "__fit", "host", "path", "rule", "verdict"]
+    assert {r.asDict()["__n"]: (r.host, r.path, r.verdict) for r in got.collect()} == {1: ("a.com", "/en/x", "block"), 2: ("", "", "allow")}
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}{'.' if i % 9 == 8 else ''}" for i in range(60))
+    rows = [(1, text, "en", "s", 10, "k"), (1, text, "en", "s", 10, "k"), (2, None, None, None, None, None), (3, "", "en", "s", 0, ""), (None, text + " more", "de", "t", 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    for df in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, "/root/testdata/sf0.001")
+            n = out.count()
+            assert set(df.columns) <= set(out.columns) and (n == 0 or df is docs), name
+            assert name == "mixing" or out.columns == df.columns
+    kept = dict(corpus_pipeline.STAGES)["quality"](spark, docs, "")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"] and [r.kept for r in kept.filter("doc_id = 1").collect()] == ["k", "k"]
+    lines = dict(corpus_pipeline.STAGES)["lines"](spark, docs, "").collect()
+    assert len(lines) == 5 and {r.text for r in lines if r.doc_id == 2} == {None}
