@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm import decontaminate, line_dedup, mixing, near_dup, quality
-from skyfold.llm.session import shared_dir
+from skyfold.llm.session import remove, shared_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go to the shared folder."""
+    """All stages over ``documents``.
+
+    Each result is written to a folder of its own in the shared one; a stage's input goes
+    once its result is written, and the last input with the session.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -60,5 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 == len(STAGES):
             return out
         out.write.parquet(f"{home}/{k}-{name}")
+        remove(spark, f"{home}/{k}-{name}", at_exit=True)
+        if k:
+            remove(spark, f"{home}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.parquet(f"{home}/{k}-{name}")
     return docs
