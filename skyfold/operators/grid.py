@@ -140,6 +140,11 @@ def sliding_mean(signal: DataFrame, by: str, extent: int, side: int, stride: int
     return covers.groupBy(by, "x").agg(F.avg("m").alias("mean"))
 
 
+def place(rows: DataFrame, index: str, width: int) -> DataFrame:
+    """``rows`` with their row and column on a grid that the index fills row by row."""
+    return rows.withColumn("r", F.floor(F.col(index) / width).cast("int")).withColumn("c", (F.col(index) % width).cast("int"))
+
+
 def window_starts(extent: int, side: int, stride: int) -> list[int]:
     """Where windows along one axis begin; the last ends at the edge."""
     last = max(extent - side, 0)

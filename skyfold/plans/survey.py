@@ -314,8 +314,15 @@ PATCHES = "pt AS (SELECT vec_id // 25 AS tile, ((vec_id % 25) // 5)::INT AS r, (
 
 
 def patches(spark, d):
-    v = fx.vectors(spark, d)
-    return v.select(F.expr("vec_id div 25").alias("tile"), F.expr("int((vec_id % 25) div 5)").alias("r"), F.expr("int(vec_id % 5)").alias("c"), "vec_id", "label", "v")
+    v = fx.vectors(spark, d).withColumn("tile", F.expr("vec_id div 25")).withColumn("i", F.col("vec_id") % 25)
+    return grid.place(v, "i", 5).select("tile", "r", "c", "vec_id", "label", "v")
+
+
+@query(sql("rects", "cells") + ", " + SCORED_CELLS + " SELECT tile, r // 4 AS r, c // 4 AS c, round(sum(floor(p * 255)) / 16 / 255, 9) AS value FROM sc GROUP BY 1, 2, 3")
+def shrunk_grid(spark, d):
+    """Scores on a grid four times as coarse."""
+    s = scored_cells(spark, d).select("tile", "r", "c", F.col("p").alias("value"))
+    return rounded(geometry.shrink(s, 4), "value", places=9)
 
 
 @query(sql("vectors") + f", {PATCHES} SELECT p.tile, r.i AS r, c.i AS c, p.label AS value FROM pt p JOIN (SELECT unnest(range(12))::INT AS i) r ON floor((r.i + 0.5) * 5 / 12)::INT = p.r JOIN (SELECT unnest(range(12))::INT AS i) c ON floor((c.i + 0.5) * 5 / 12)::INT = p.c")
