@@ -78,6 +78,16 @@ def mask_scores(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return t.withColumn("iou", ratio(F.col("inter"), F.col("n_pred") + F.col("n_gt") - F.col("inter"))).withColumn("dice", ratio(2 * F.col("inter"), F.col("n_pred") + F.col("n_gt")))
 
 
+def run_scores(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """``mask_scores`` of merged runs (tile, r, c0, c1): no cell is made."""
+    from skyfold.operators.grid import shared_cells
+
+    size = lambda runs, name: runs.groupBy("tile").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias(name))
+    t = size(pred, "n_pred").join(size(gt, "n_gt"), "tile", "full").join(shared_cells(pred, gt, ["tile"]).withColumnRenamed("n", "inter"), "tile", "left")
+    t = t.na.fill(0, ["inter", "n_pred", "n_gt"]).select("tile", "inter", "n_pred", "n_gt")
+    return t.withColumn("iou", ratio(F.col("inter"), F.col("n_pred") + F.col("n_gt") - F.col("inter"))).withColumn("dice", ratio(2 * F.col("inter"), F.col("n_pred") + F.col("n_gt")))
+
+
 def instance_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """(tile, pred, gt, iou) of predicted and true instances (tile, inst, r, c) that share a cell."""
     p, g = pred.select("tile", F.col("inst").alias("pred"), "r", "c"), gt.select("tile", F.col("inst").alias("gt"), "r", "c")

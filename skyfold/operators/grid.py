@@ -51,6 +51,27 @@ def runs(cells: DataFrame, by: list[str]) -> DataFrame:
     return g.groupBy(*by, "r", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).drop("g")
 
 
+def merged_runs(spans: DataFrame, by: list[str], side: int) -> DataFrame:
+    """Maximal horizontal runs (by…, r, c0, c1) of spans that may overlap or touch; no cell is made."""
+    # Rows stand one after the other with a gap between, so one running maximum serves a whole group.
+    low, high = F.col("r") * (side + 2) + F.col("c0"), F.col("r") * (side + 2) + F.col("c1")
+    w = Window.partitionBy(*by).orderBy("low", "high")
+    s = spans.select(*by, low.alias("low"), high.alias("high"))
+    reached = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("new", F.when(reached.isNull() | (F.col("low") > reached + 1), 1).otherwise(0))
+    s = s.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.groupBy(*by, "g").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    at = lambda c: F.col(c) % (side + 2)
+    return s.select(*by, F.floor(F.col("low") / (side + 2)).cast("int").alias("r"), at("low").cast("int").alias("c0"), at("high").cast("int").alias("c1"))
+
+
+def shared_cells(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, n): how many cells two sets of merged runs share."""
+    x, y = a.select(*by, "r", F.col("c0").alias("a0"), F.col("c1").alias("a1")), b.select(*by, "r", F.col("c0").alias("b0"), F.col("c1").alias("b1"))
+    j = x.join(y, [*by, "r"]).filter("a0 <= b1 AND b0 <= a1")
+    return j.groupBy(*by).agg(F.sum(F.least("a1", "b1") - F.greatest("a0", "b0") + 1).alias("n"))
+
+
 def label_runs(tile: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
     """A component number for each run, sorted by (tile, r, c0): the index of its first run; 4-neighbours."""
     n = len(r)
@@ -87,12 +108,17 @@ def label_runs(tile: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray)
 
 
 def components(cells: DataFrame) -> DataFrame:
+    """``components_of_runs`` of cells (tile, r, c)."""
+    return components_of_runs(runs(cells, ["tile"]))
+
+
+def components_of_runs(found: DataFrame) -> DataFrame:
     """(tile, r, c0, c1, component) of 4-connected components, numbered from 1 in raster order within each tile.
 
     Tiles are whole in a partition and stream through it; a worker holds one
     Arrow batch and the tile that crosses into the next.
     """
-    ordered = runs(cells, ["tile"]).select("tile", "r", "c0", "c1").repartition("tile").sortWithinPartitions("tile", "r", "c0")
+    ordered = found.select("tile", "r", "c0", "c1").repartition("tile").sortWithinPartitions("tile", "r", "c0")
 
     def label(batches):
         def out(p: pd.DataFrame) -> pd.DataFrame:

@@ -281,6 +281,11 @@ def gt_pred(spark, d):
     return fx.cells(r.filter("gt")), fx.cells(r.filter("not gt"))
 
 
+def mask_runs(spark, d, of: str):
+    """The runs of a tile's mask."""
+    return grid.merged_runs(fx.spans(fx.rects(spark, d).filter(of)), ["tile"], GRID)
+
+
 def coverage(spark, d, patch: int = 4):
     """(tile, pr, pc, cover, y): the covered share of each patch that a true rectangle touches, and its label."""
     gt = gt_pred(spark, d)[0].select("tile", "r", "c").distinct()
@@ -311,8 +316,8 @@ t AS (SELECT tile, count(*) FILTER (g AND p) AS i, count(*) FILTER (g) AS ng, co
 SELECT count(*) AS tiles_scored, round(avg(i / (ng + np - i)::DOUBLE), 6) AS mean_iou, round(avg(2 * i / (ng + np)::DOUBLE), 6) AS mean_dice FROM t"""
 )
 def mask_iou_dice(spark, d):
-    gt, pred = gt_pred(spark, d)
-    return ev.mask_scores(pred, gt).agg(F.count("*").alias("tiles_scored"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.avg("dice"), 6).alias("mean_dice"))
+    gt, pred = mask_runs(spark, d, "gt"), mask_runs(spark, d, "not gt")
+    return ev.run_scores(pred, gt).agg(F.count("*").alias("tiles_scored"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.avg("dice"), 6).alias("mean_dice"))
 
 
 @query(
@@ -345,14 +350,12 @@ comp AS (SELECT runs.*, dense_rank() OVER (PARTITION BY runs.tile ORDER BY root)
 
 @query(COMPONENTS + " SELECT tile, r, c0, c1, component::INT AS component FROM comp")
 def connected_components(spark, d):
-    m = gt_pred(spark, d)[1].select("tile", "r", "c").distinct()
-    return grid.components(m)
+    return grid.components_of_runs(mask_runs(spark, d, "not gt"))
 
 
 @query(COMPONENTS + " SELECT tile, component::INT AS component, sum(c1 - c0 + 1)::BIGINT AS area, min(r) AS r0, min(c0) AS x0, max(r) AS r1, max(c1) AS x1, round_even(sum(c1 - c0 + 1)::DOUBLE / ((max(r) - min(r) + 1) * (max(c1) - min(c0) + 1)), 3) AS fill FROM comp GROUP BY tile, component")
 def component_boxes(spark, d):
-    m = gt_pred(spark, d)[1].select("tile", "r", "c").distinct()
-    return grid.boxes(grid.components(m))
+    return grid.boxes(grid.components_of_runs(mask_runs(spark, d, "not gt")))
 
 
 # --- instances -------------------------------------------------------------------

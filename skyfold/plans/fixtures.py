@@ -53,6 +53,11 @@ def cells(r: DataFrame) -> DataFrame:
     return x.select("tile", "inst", "r", F.explode(F.sequence("x0", "x1")).alias("c"))
 
 
+def spans(r: DataFrame) -> DataFrame:
+    """(tile, inst, r, c0, c1) of rectangles."""
+    return r.select("tile", "inst", F.explode(F.sequence("y0", "y1")).alias("r"), F.col("x0").alias("c0"), F.col("x1").alias("c1"))
+
+
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 

@@ -9,7 +9,7 @@ from skyfold.operators import evaluate as ev
 from skyfold.operators import geometry, grid, guards, reports, tiling, vector
 from skyfold.operators.stored import stored
 from skyfold.plans import fixtures as fx
-from skyfold.plans.catalogue import gt_pred, query
+from skyfold.plans.catalogue import gt_pred, mask_runs, query
 from skyfold.plans.fixtures import GRID, sql, table
 from skyfold.sources import metrics as files
 from skyfold.sources import tables
@@ -358,7 +358,7 @@ PRED_PARTS = sql("rects", "cells", recursive=True) + ", m AS (SELECT DISTINCT ti
 
 
 def predicted_boxes(spark, d):
-    return grid.boxes(grid.components(gt_pred(spark, d)[1].select("tile", "r", "c").distinct()))
+    return grid.boxes(grid.components_of_runs(mask_runs(spark, d, "not gt")))
 
 
 @query(PRED_PARTS + " SELECT tile, component, area, place::INT AS place FROM rk WHERE area >= 20")

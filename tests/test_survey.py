@@ -105,6 +105,20 @@ def test_markers(spark):
     assert all(r.kept for r in geometry.tiles_to_keep(tiles, cells.withColumnRenamed("tile", "source"), 8, mode="all").collect())
 
 
+def test_merged_runs(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 4), rng.randint(0, 9), c0, min(19, c0 + rng.randint(0, 6))) for c0 in (rng.randint(0, 19) for _ in range(150))]
+    spans = spark.createDataFrame(rows, "tile int, r int, c0 int, c1 int")
+    cells = spans.select("tile", "r", F.explode(F.sequence("c0", "c1")).alias("c")).distinct()
+    merged = grid.merged_runs(spans, ["tile"], 20)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, grid.runs(cells, ["tile"]).select("tile", "r", "c0", "c1").collect()))
+    assert sorted(map(tuple, grid.components_of_runs(merged).collect())) == sorted(map(tuple, grid.components(cells).collect()))
+    half = merged.filter("tile < 3"), grid.merged_runs(spans.filter("c0 % 2 = 0"), ["tile"], 20)
+    c = lambda m: m.select("tile", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    key = lambda df: sorted((r.tile, r.inter, r.n_pred, r.n_gt) for r in df.collect())
+    assert key(ev.run_scores(*half)) == key(ev.mask_scores(c(half[0]), c(half[1])))
+
+
 def square(tile, inst, r, c, n):
     return [(tile, inst, y, x) for y in range(r, r + n) for x in range(c, c + n)]
 
