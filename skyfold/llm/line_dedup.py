@@ -46,8 +46,10 @@ SHINGLE = 5
 #: The similarity, as a fraction.
 NUM, DEN = 3, 4
 BUCKETS = 1 << 16
-#: Bits of a token that hold its rank, above those of its hash.
-RANK_BITS = 47
+#: Bits of a token's hash, below those of its rank.
+HASH_BITS = 56
+#: Ranks go from 0 to below this: numbers so small that the JVM keeps one object of each, which stay in its caches.
+RANKS = 128
 #: Stands for a null doc_id, so that keys compare by plain equality and one shuffle serves grouping and join.
 LEAST_ID = -(2**63)
 SPACE = r"[\x20\x09-\x0D]+"
@@ -92,10 +94,10 @@ def bucket(token: Column) -> Column:
 def ordered_tokens(line: Column, ranks: Column) -> Column:
     """The line's tokens, the rarest first; one long holds the rank and the other bits of the hash, and is as good as the token.
 
-    ``ranks`` has each bucket's rank in the upper bits.
+    ``ranks`` has each bucket's rank.
     """
     rank = lambda t: F.coalesce(F.get(ranks, bucket(t)), F.lit(0).cast("long"))  # noqa: E731 - never null, so that longs are sorted
-    packed = lambda t: rank(t).bitwiseXOR(F.shiftrightunsigned(t, 64 - RANK_BITS))
+    packed = lambda t: F.shiftleft(rank(t), HASH_BITS).bitwiseXOR(F.shiftrightunsigned(t, 64 - HASH_BITS))
     return F.sort_array(F.transform(line_tokens(line), packed))
 
 
@@ -119,10 +121,11 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
 
 def token_ranks(lines: DataFrame) -> list[int]:
-    """For each bucket of tokens the rank (from 0, below 2**16) of its count over all lines."""
+    """For each bucket of tokens the rank (from 0, below ``RANKS``) of its count over all lines."""
     counted = all_tokens(lines).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
     n = dict(counted.collect())  # 2**16 rows at most
-    rank = {c: k for k, c in enumerate(sorted({0, *n.values()}))}
+    seen = sorted({0, *n.values()})
+    rank = {c: k * RANKS // len(seen) for k, c in enumerate(seen)}
     return [rank[n.get(b, 0)] for b in range(BUCKETS)]
 
 
@@ -146,7 +149,7 @@ def reach(n: Column, pos: Column, m: Column, other: Column) -> Column:
 
 def similar_later_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, th, line_no) of the lines that an earlier one of ``lines`` matches."""
-    ranks = F.from_json(F.lit("[" + ",".join(str(r << RANK_BITS) for r in token_ranks(lines)) + "]"), "array<bigint>")
+    ranks = F.from_json(F.lit("[" + ",".join(map(str, token_ranks(lines))) + "]"), "array<bigint>")
     posted = lines.select("doc_id", "line_no", ordered_tokens(F.col("line"), ranks).alias("t"))
     posted = posted.select("doc_id", "line_no", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, prefix_length(F.size("t")))).alias("pos", "token"))
     # Three numbers travel as two.
