@@ -41,6 +41,37 @@ def blobs_on_tiles(blobs: DataFrame, tiles: DataFrame, cell: int) -> DataFrame:
     return j.filter(first_x & first_y).drop("b_gx", "b_gy", "t_gx", "t_gy")
 
 
+def blobs_on_tile_grid(blobs: DataFrame, images: DataFrame, tile: int, edge: str = "shift") -> DataFrame:
+    """``blobs_on_tiles`` of every tile of ``tile_grid`` of images (source, width, height).
+
+    The tiles that a blob's box meets follow from its image's size, so blobs meet
+    images, one row each, and a tile is made only where a blob lies on it.
+    """
+    c = F.col
+    j = blobs.select(*[c(x).alias("b_" + x) for x in blobs.columns])
+    i = images.select(c("source").alias("t_source"), c("width").alias("__w"), c("height").alias("__h"))
+    j = j.join(i, c("b_source") == c("t_source"))
+
+    def met(extent: str, low: str, high: str):
+        # Numbers of the first and last tile along an axis that a box can meet; only the last may be shifted.
+        at, lo, hi = c(extent), c(low), c(high)
+        n = F.floor(at / tile) if edge == "crop" else F.ceil(at / tile)
+        last = F.greatest(n.cast("int"), F.lit(0 if edge == "crop" else 1)) - 1
+        shifted = (hi > at - tile) if edge == "shift" else F.lit(False)
+        k0 = F.greatest(F.floor(lo / tile).cast("int"), F.lit(0))
+        k1 = F.when(shifted, last).otherwise(F.least(F.ceil(hi / tile).cast("int") - 1, last))
+        return F.explode(F.when(k0 <= k1, F.sequence(k0, k1)))
+
+    def start(extent: str, k: str):
+        s = c(k) * tile
+        return F.greatest(F.least(s, c(extent) - tile), F.lit(0)) if edge == "shift" else s
+
+    j = j.withColumn("t_row", met("__h", "b_y0", "b_y1")).withColumn("t_col", met("__w", "b_x0", "b_x1"))
+    j = j.withColumn("t_x0", start("__w", "t_col")).withColumn("t_y0", start("__h", "t_row"))
+    j = j.withColumn("t_x1", F.least(c("t_x0") + tile, "__w")).withColumn("t_y1", F.least(c("t_y0") + tile, "__h")).drop("__w", "__h")
+    return j.filter(overlaps(c("b_x0"), c("b_x1"), c("b_y0"), c("b_y1"), c("t_x0"), c("t_x1"), c("t_y0"), c("t_y1")))
+
+
 def crib(pairs: DataFrame) -> DataFrame:
     """Marker boxes in the coordinates of each tile, unclipped and clipped."""
     c = F.col
