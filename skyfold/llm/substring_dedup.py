@@ -14,20 +14,27 @@ doc_id, by a map-side aggregate, so a group of copies with a third of all rows
 is indexed once.
 
 A minimizer whose contents are many (a passage that a third of all documents
-hold in ever new variants) is thinned before that: its windows are counted by
-hash over its contents, and contents are cut to the runs of windows that two of
-them share.  What is left of near copies are stretches of the common passage,
-which collapse again, so the contents of a minimizer grow with the repeated
-text and not with the documents that hold it.
-
-The contents of a shard are indexed by a compressed FM-index and searched
-backwards in it.  The matching statistics at ``WIDTH`` give, for each window,
-the class of all its occurrences and so the smallest doc_id among them; runs of
-windows with one answer are the intervals that are reported.  An index takes
-about ``SHARD_WORDS`` words, cut between minimizers.  A minimizer with more
-shared contents than that is indexed in parts and its windows are searched in
-each part: an index keeps its size, but the contents of one minimizer are held
-by one task.
+hold in ever new variants) is thinned before that.  Its contents are dealt into
+groups of about ``GROUP``; the windows of a group are counted where they are, by
+hash, and each distinct one moves on as one row, so a passage costs a group its
+own length and not that of all who hold it.  Windows seen twice in all groups
+return to each group that has them, and contents are cut to the runs of those.
+What is left of near copies are stretches of the common passage, which collapse
+again, so the contents of a minimizer grow with the repeated text and not with
+the documents that hold it.
+
+The contents of a shard are cut in the same way, in the task that holds them: a
+window whose hash stands once in the shard has one holder, its own content.  The
+distinct stretches that are left are indexed by a compressed FM-index and
+searched backwards in it.  The matching statistics at ``WIDTH`` give, for each
+window, the class of all its occurrences and so the smallest doc_id among them;
+runs of windows with one answer are the intervals that are reported.  Hashes of
+windows only spare the index windows that occur once; equal hashes of different
+windows put them into the index, which tells them apart.  An index takes about
+``SHARD_WORDS`` words, cut between minimizers.  A minimizer with more shared
+contents than that is indexed in parts and its windows are searched in each
+part: an index keeps its size, but the contents of one minimizer are held by one
+task.
 
 Intervals return to their documents by doc_id and a hash of the text.
 
@@ -55,6 +62,10 @@ GRAM = 8
 SHARD_WORDS = 1_500_000
 #: A minimizer with more contents than this is thinned first.
 CROWD = 64
+#: Contents of a crowded minimizer whose windows are counted together.
+GROUP = 256
+#: Windows of a piece that one search goes through: all searches of a shard step together.
+STRIDE = 128
 U = np.uint64
 
 
@@ -68,10 +79,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(x[:-rest], x[rest:]) if len(x) > rest else x[:0]) if rest else x
 
 
+def span_hashes(w: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the words from ``first`` up to ``last`` of each span."""
+    power, inverse = textnp._powers(len(w) + 1)
+    out = []
+    for v in (w, textnp.mix64(w ^ U(0x5851F42D4C957F2D))):
+        sums = np.zeros(len(w) + 1, U)
+        np.cumsum(v * power[: len(w)], out=sums[1:])
+        out.append(textnp.mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(U)).view(np.int64))
+    return out
+
+
+def gram_hashes(w: np.ndarray, k: int) -> np.ndarray:
+    """A hash of all ``k`` consecutive words, over the borders of texts too."""
+    power, inverse = textnp._powers(len(w) + 1)
+    sums = np.zeros(len(w) + 1, U)
+    np.cumsum(w * power[: len(w)], out=sums[1:])
+    return textnp.mix64((sums[k:] - sums[:-k]) * inverse[: max(0, len(w) - k + 1)])
+
+
 def segments(texts: list, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """All segments of ``texts``: text number, first word, windows, minimizer and two hashes of the words."""
     w, at = textnp.word_hashes(texts, lower=False)
-    m = sliding_min(textnp.grams(w, gram), width - gram + 1)
+    m = sliding_min(gram_hashes(w, gram), width - gram + 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     n = len(m)
     if not n:
@@ -87,11 +117,7 @@ def segments(texts: list, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.
     end = np.minimum(nxt, stop)
     last = end + width - 1
     out = {"text": owner[first], "start": first - at[owner[first]], "windows": end - first, "key": m[first].view(np.int64)}
-    power, inverse = textnp._powers(len(w) + 1)
-    for name, v in (("c1", w), ("c2", textnp.mix64(w ^ U(0x5851F42D4C957F2D)))):
-        sums = np.zeros(len(w) + 1, U)
-        np.cumsum(v * power[: len(w)], out=sums[1:])
-        out[name] = textnp.mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(U)).view(np.int64)
+    out["c1"], out["c2"] = span_hashes(w, first, last)
     return out
 
 
@@ -122,9 +148,31 @@ def _contents(batches):
             yield pd.DataFrame(rows, columns=["key", "c1", "c2", "least", "words"])
 
 
-def _runs(rows: list[tuple], width: int = WIDTH, shard_words: int = SHARD_WORDS):
-    """For contents (c1, c2, least doc, words) that meet nothing outside ``rows``: runs (first, end, least doc of all holders) of their windows."""
-    pieces = [np.frombuffer(r[3], U) for r in rows]
+def window_hashes(pieces: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
+    """A hash of each window of ``pieces``, piece after piece; no piece is shorter than a window."""
+    if not pieces:
+        return np.zeros(0, np.int64)
+    own = np.ones(sum(len(p) for p in pieces), bool)
+    ends = np.cumsum([len(p) for p in pieces])
+    for k in range(1, width):
+        own[ends - k] = False
+    return gram_hashes(np.concatenate(pieces), width)[own[: len(own) - width + 1]].view(np.int64)
+
+
+def stretches(shared: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of shared windows of pieces with so many windows each: piece, first window, last window plus one."""
+    edge = np.zeros(len(shared) + 1, bool)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    edge[at] = True
+    before, after = np.append(False, shared[:-1]), np.append(shared[1:], False)
+    a = np.flatnonzero(shared & (~before | edge[:-1]))
+    b = np.flatnonzero(shared & (~after | edge[1:])) + 1
+    piece = np.searchsorted(at, a, "right") - 1
+    return piece, a - at[piece], b - at[piece]
+
+
+def _searched(pieces: list[np.ndarray], least: np.ndarray, width: int, shard_words: int) -> list[np.ndarray]:
+    """For each window of pieces that meet nothing else: the least of ``least`` over all pieces that hold it, by search in their FM-index."""
     lengths = np.array([len(p) for p in pieces])
     parts, size = [[]], 0
     for k, n in enumerate(lengths):
@@ -133,7 +181,6 @@ def _runs(rows: list[tuple], width: int = WIDTH, shard_words: int = SHARD_WORDS)
             size = 0
         parts[-1].append(k)
         size += n + 1
-    least = np.array([r[2] for r in rows], np.int64)
     best = [np.full(n - width + 1, np.iinfo(np.int64).max) for n in lengths]
     for part in parts:
         own = np.concatenate([pieces[k] for k in part])
@@ -148,9 +195,14 @@ def _runs(rows: list[tuple], width: int = WIDTH, shard_words: int = SHARD_WORDS)
         minima = index.minima
         if len(parts) == 1:
             flat = np.concatenate(best)
-            offset = np.concatenate([[0], np.cumsum(lengths - width + 1)[:-1]])
-            for piece, at, c in index.own_windows(text, ends - 1, lengths):
-                flat[offset[piece] + at] = minima[c]
+            counts = lengths - width + 1
+            offset = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            searches = -(-counts // STRIDE)
+            piece = np.repeat(np.arange(len(counts)), searches)
+            first = (np.arange(len(piece)) - np.repeat(np.cumsum(searches) - searches, searches)) * STRIDE
+            n = np.minimum(STRIDE, counts[piece] - first) + width - 1
+            for k, at, c in index.own_windows(text, (ends - 1 - lengths)[piece] + first + n, n):
+                flat[offset[piece[k]] + first[k] + at] = minima[c]
             best = np.split(flat, offset[1:])
         else:
             for k, p in enumerate(pieces):
@@ -158,9 +210,39 @@ def _runs(rows: list[tuple], width: int = WIDTH, shard_words: int = SHARD_WORDS)
                 found = np.where(alphabet[np.minimum(found, len(alphabet) - 1)] == p, found + 1, 0)
                 c = index.find_windows(np.lib.stride_tricks.sliding_window_view(found, width))
                 best[k] = np.where(c >= 0, np.minimum(best[k], minima[c]), best[k])
-    for r, b in zip(rows, best):
-        cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
-        yield r[0], r[1], cut[:-1], cut[1:], b[cut[:-1]]
+    return best
+
+
+def _runs(rows: list[tuple], width: int = WIDTH, shard_words: int = SHARD_WORDS):
+    """For contents (c1, c2, least doc, words) that meet nothing outside ``rows``: runs (first, end, least doc of all holders) of their windows."""
+    pieces = [np.frombuffer(r[3], U) for r in rows]
+    counts = np.array([len(p) for p in pieces]) - width + 1
+    h = window_hashes(pieces, width)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    shared = np.zeros(len(h), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    best = np.repeat(np.array([r[2] for r in rows], np.int64), counts)
+    # Equal stretches are indexed once.
+    which, least, each = {}, [], []
+    for k, a, b in zip(*(x.tolist() for x in stretches(shared, counts))):
+        n = which.setdefault(rows[k][3][a * 8 : (b + width - 1) * 8], len(which))
+        each.append(n)
+        if n == len(least):
+            least.append(rows[k][2])
+        elif rows[k][2] < least[n]:
+            least[n] = rows[k][2]
+    if each:
+        found = _searched([np.frombuffer(x, U) for x in which], np.array(least, np.int64), width, shard_words)
+        best[shared] = np.concatenate([found[n] for n in each])
+    at = np.concatenate([[0], np.cumsum(counts)])
+    new = np.ones(len(best), bool)
+    new[1:] = best[1:] != best[:-1]
+    new[at[:-1]] = True
+    cut = np.flatnonzero(new)
+    least, end, run = best[cut], np.append(cut[1:], len(best)), np.searchsorted(cut, at)
+    for r, o, a, b in zip(rows, at.tolist(), run[:-1].tolist(), run[1:].tolist()):
+        yield r[0], r[1], cut[a:b] - o, end[a:b] - o, least[a:b]
 
 
 def _shards(batches):
@@ -183,50 +265,60 @@ def _shards(batches):
         yield out(rows)
 
 
-def window_hashes(words: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window of a content."""
-    w = np.frombuffer(words, U)
-    power, inverse = textnp._powers(len(w) + 1)
-    n = len(w) - width + 1
-    out = []
-    for v in (w, textnp.mix64(w ^ U(0x5851F42D4C957F2D))):
-        sums = np.zeros(len(w) + 1, U)
-        np.cumsum(v * power[: len(w)], out=sums[1:])
-        out.append(textnp.mix64((sums[width:] - sums[:n]) * inverse[:n]).view(np.int64))
-    return out[0], out[1]
-
-
 def _windows(batches):
+    """Contents of groups -> each distinct window of a group and the number of its places; a group over two batches gives some twice."""
     for pdf in batches:
-        for c1, c2, words in zip(pdf["c1"], pdf["c2"], pdf["words"]):
-            w1, w2 = window_hashes(words)
-            yield pd.DataFrame({"w1": w1, "w2": w2, "c1": c1, "c2": c2, "at": np.arange(len(w1), dtype=np.int32)})
+        pieces = [np.frombuffer(x, U) for x in pdf["words"]]
+        counts = [len(p) - WIDTH + 1 for p in pieces]
+        w = window_hashes(pieces)
+        key, part = (np.repeat(pdf[c].to_numpy(), counts) for c in ("key", "part"))
+        order = np.lexsort((w, part, key))
+        w, key, part = w[order], key[order], part[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (part[1:] != part[:-1]) | (key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        yield pd.DataFrame({"key": key[first], "part": part[first], "w": w[first], "n": np.diff(np.append(first, len(w)))})
 
 
 def _cut(batches):
-    """Contents with the places of their shared windows -> the runs of those, as contents of their own with where they come from."""
+    """Groups, their shared windows first -> the runs of those in their contents, as contents of their own with where they come from."""
+    marks = np.zeros(0, np.int64)
     for pdf in batches:
-        rows = []
-        for key, c1, c2, least, words, places in zip(pdf["key"].tolist(), pdf["c1"].tolist(), pdf["c2"].tolist(), pdf["least"].tolist(), pdf["words"], pdf["places"]):
-            p = np.sort(np.asarray(places))
-            edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1] + 1]))
-            for a, b in zip(p[edge].tolist(), p[np.append(edge[1:], len(p)) - 1].tolist()):
-                part = words[a * 8 : (b + WIDTH) * 8]
-                w = np.frombuffer(part, U)
-                h1, h2 = (int(textnp.grams(x, len(x))[0].astype(np.int64)) for x in (w, textnp.mix64(w ^ U(0xA5A5A5A5A5A5A5A5))))
-                rows.append((key, c1, c2, a, h1, h2, least, part))
-        yield pd.DataFrame(rows, columns=["key", "c1", "c2", "shift", "h1", "h2", "least", "words"])
+        # A window that another group shares is shared too: all groups of a batch are looked up together, the last one may go on.
+        given = [x for x in pdf["marks"] if x is not None]
+        held = np.unique(np.concatenate([marks, *given]).astype(np.int64))
+        marks = given[-1] if given else marks
+        rows = pdf[pdf["words"].notna()]
+        raw = rows["words"].tolist()
+        pieces = [np.frombuffer(x, U) for x in raw]
+        counts = np.array([len(p) - WIDTH + 1 for p in pieces], np.int64)
+        h = window_hashes(pieces)
+        place = np.minimum(np.searchsorted(held, h), max(0, len(held) - 1))
+        piece, a, b = stretches(held[place] == h if len(held) else np.zeros(len(h), bool), counts)
+        b = b + WIDTH - 1
+        at = np.concatenate([[0], np.cumsum(counts + WIDTH - 1)])[piece]
+        h1, h2 = span_hashes(np.concatenate(pieces) ^ U(0xA5A5A5A5A5A5A5A5), at + a, at + b) if pieces else (h, h)
+        out = {c: rows[c].to_numpy()[piece] for c in ("key", "c1", "c2")}
+        parts = [raw[k][i * 8 : j * 8] for k, i, j in zip(piece.tolist(), a.tolist(), b.tolist())]
+        yield pd.DataFrame(out | {"shift": a.astype(np.int32), "h1": h1, "h2": h2, "least": rows["least"].to_numpy()[piece], "words": parts})
 
 
 def thinned(crowd: DataFrame) -> DataFrame:
-    """Contents (key, c1, c2, least, words) of crowded minimizers -> the stretches of them that two contents share: (key, c1, c2, shift, h1, h2, least, words)."""
-    windows = crowd.select("c1", "c2", "words").mapInPandas(_windows, "w1 long, w2 long, c1 long, c2 long, at int")
-    windows = materialise(windows)
+    """Contents (key, part, c1, c2, least, words) of crowded minimizers -> the stretches of them that two contents share: (key, c1, c2, shift, h1, h2, least, words).
+
+    A minimizer's windows are its own, so windows of different groups meet only within it.
+    """
+    grouped = crowd.select("key", "part", "words").repartition("key", "part").sortWithinPartitions("key", "part")
+    windows = materialise(grouped.mapInPandas(_windows, "key long, part int, w long, n long"))
     # Equal windows of one content count too: a window is left out only if it stands at one place.
     # Written, so that the join reads two plain shuffles and a common window's rows can be split.
-    shared = materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
-    places = windows.join(shared, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list("at").alias("places"))
-    out = materialise(crowd.join(places, ["c1", "c2"]).mapInPandas(_cut, "key long, c1 long, c2 long, shift int, h1 long, h2 long, least long, words binary"))
+    shared = materialise(windows.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w"))
+    marks = windows.join(shared, "w").groupBy("key", "part").agg(F.collect_list("w").alias("marks"))
+    none = F.lit(0).cast("long")
+    marks = marks.select("key", "part", none.alias("c1"), none.alias("c2"), none.alias("least"), F.lit(None).cast("binary").alias("words"), "marks")
+    both = crowd.select("key", "part", "c1", "c2", "least", "words", F.lit(None).cast("array<long>").alias("marks")).union(marks)
+    both = both.repartition("key", "part").sortWithinPartitions("key", "part", F.col("words").isNotNull())
+    out = materialise(both.mapInPandas(_cut, "key long, c1 long, c2 long, shift int, h1 long, h2 long, least long, words binary"))
     discard(windows, shared)
     return out
 
@@ -234,19 +326,15 @@ def thinned(crowd: DataFrame) -> DataFrame:
 def _judged(batches):
     for pdf in batches:
         rows = []
-        for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf["found"]):
+        for doc_id, text, starts, ends in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["ends"]):
             words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
             n, gone = len(words), 0
-            if found is not None and len(found):
-                drop = np.zeros(n + 1, np.int64)
-                for s in found:
-                    for a, b, least in zip(s["first"], s["end"], s["least"]):
-                        if least < doc_id:
-                            drop[s["start"] + a] += 1
-                            drop[s["start"] + b + WIDTH - 1] -= 1
+            if starts is not None and len(starts):
+                drop = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
                 kept = np.cumsum(drop[:n]) == 0
                 gone = n - int(kept.sum())
-                words = [w for w, k in zip(words, kept.tolist()) if k]
+                edge = np.flatnonzero(np.diff(kept, prepend=False, append=False)).tolist()
+                words = [w for a, b in zip(edge[::2], edge[1::2]) for w in words[a:b]]
             rows.append((doc_id, n, gone, b" ".join(words).decode("utf-8", "replace")))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text"])
         out["doc_id"] = pdf["doc_id"].array
@@ -267,7 +355,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = d.join(asked, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     words = materialise(texts.select("text", "wanted").mapInPandas(_contents, "key long, c1 long, c2 long, least long, words binary"))
     sizes = words.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
-    crowded = materialise(words.join(sizes.select("key"), "key", "left_semi"))
+    group = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("n") / GROUP)).cast("int").alias("part")
+    crowded = materialise(words.join(sizes, "key").select("key", group, "c1", "c2", "least", "words"))
     simple = words.join(sizes.select("key"), "key", "left_anti")
     cut = thinned(crowded)
     again = cut.groupBy("key", "h1", "h2").agg(F.min("least").alias("least"), F.first("words").alias("words"))
@@ -281,6 +370,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = runs.union(parts.select("c1", "c2", moved("first").alias("first"), moved("end").alias("end"), "least")).union(whole)
     discard(words)
     hits = found.join(runs, ["c1", "c2"]).filter(F.array_min("least") < F.col("doc_id"))
-    hits = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "first", "end", "least")).alias("found"))
-    out = d.join(hits, ["doc_id", "th"], "left").select("doc_id", "text", "found")
+    # The words under the windows of each run that a smaller document holds.
+    smaller = F.filter(F.arrays_zip("first", "end", "least"), lambda x: x["least"] < F.col("doc_id"))
+    hits = hits.select("doc_id", "th", "start", smaller.alias("runs"))
+    hits = hits.select("doc_id", "th", F.transform("runs", lambda x: F.col("start") + x["first"]).alias("starts"), F.transform("runs", lambda x: F.col("start") + x["end"] + (WIDTH - 1)).alias("ends"))
+    hits = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
+    hits = hits.select("doc_id", "th", F.flatten("found.starts").alias("starts"), F.flatten("found.ends").alias("ends"))
+    out = d.join(hits, ["doc_id", "th"], "left").select("doc_id", "text", "starts", "ends")
     return out.mapInPandas(_judged, "doc_id long, n_words long, n_removed long, kept_text string")

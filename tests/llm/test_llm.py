@@ -197,6 +197,72 @@ def test_fm_runs(limit):
             assert [v for s, e, v in zip(first, end, least) for _ in range(e - s)] == [best[p[i : i + width].tobytes()] for i in range(len(p) - width + 1)]
 
 
+def test_crowd_counts_windows_by_group(spark, monkeypatch):
+    """A passage in ever new variants costs a group its distinct windows, and not each holder's."""
+    monkeypatch.setattr(substring_dedup, "CROWD", 8)
+    monkeypatch.setattr(substring_dedup, "GROUP", 40, raising=False)
+    sizes, real = [], substring_dedup.materialise
+
+    def counted(df, *a):
+        out = real(df, *a)
+        if set(out.columns) & {"w", "w1"}:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialise", counted)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        w = list(passage)
+        w[rng.randrange(100, 120)] = f"own{i}"
+        rows.append((i, " ".join([f"a{i}_{k}" for k in range(5)] + w + [f"z{i}"])))
+    first, windows = {}, 0
+    for i, t in rows:
+        w = t.split()
+        windows += len(w) - 49
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
+        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and any(x[1] for x in want.values())
+    assert sizes and max(sizes) < windows / 2
+
+
+def test_runs_index_repeats_only(monkeypatch):
+    """Windows of one holder stay out of the index, equal stretches are in it once, and a long piece is searched in steps of its parts."""
+    sizes, steps = [], []
+
+    class Counted(fm_index.FMIndex):
+        def __init__(self, text, width, values):
+            sizes.append(len(text))
+            super().__init__(text, width, values)
+
+        def extend(self, lo, hi, symbols):
+            steps.append(len(symbols))
+            return super().extend(lo, hi, symbols)
+
+    monkeypatch.setattr(substring_dedup, "FMIndex", Counted)
+    rng = np.random.default_rng(3)
+    own = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
+    long = own(1500)
+    rows = [(k, 0, 50 - k, np.concatenate([own(400), long, own(300 + k)]).tobytes()) for k in range(6)]
+    rows += [(6, 0, 7, own(2000).tobytes()), (7, 0, 1, np.concatenate([own(20), long[700:800], own(30)]).tobytes())]
+    best = {}
+    for *_, d, b in rows:
+        for i in range(len(b) // 8 - 49):
+            best[b[i * 8 : (i + 50) * 8]] = min(best.get(b[i * 8 : (i + 50) * 8], 10**9), d)
+    got = list(substring_dedup._runs(rows))
+    assert sum(sizes) <= 1500 + 100 + 3
+    assert len(steps) <= substring_dedup.STRIDE + substring_dedup.WIDTH
+    for (c1, _, first, end, least), (want, _, _, b) in zip(got, rows):
+        assert c1 == want and [v for s, e, v in zip(first, end, least) for _ in range(e - s)] == [best[b[i * 8 : (i + 50) * 8]] for i in range(len(b) // 8 - 49)]
+
+
 def test_wavelet_rank():
     x = np.random.default_rng(2).integers(0, 37, 500)
     w = fm_index.WaveletMatrix(x, 37)
