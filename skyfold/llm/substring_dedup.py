@@ -15,7 +15,7 @@ is indexed once.
 
 A minimizer whose contents are many (a passage that a third of all documents
 hold in ever new variants) is thinned before that.  Its contents are dealt into
-groups of about ``GROUP``; the windows of a group are counted where they are, by
+groups of about ``CROWD``; the windows of a group are counted where they are, by
 hash, and each distinct one moves on as one row, so a passage costs a group its
 own length and not that of all who hold it.  Windows seen twice in all groups
 return to each group that has them, and contents are cut to the runs of those.
@@ -60,10 +60,10 @@ from skyfold.llm.session import bound_batches, discard, materialise
 WIDTH = 50
 GRAM = 8
 SHARD_WORDS = 1_500_000
-#: A minimizer with more contents than this is thinned first.
-CROWD = 64
-#: Contents of a crowded minimizer whose windows are counted together.
-GROUP = 256
+#: Contents of one minimizer that one task takes as they are; more are dealt into groups of this size and thinned first.
+CROWD = 4096
+#: Words of groups whose windows are counted at once.
+COUNT_WORDS = 1 << 19
 #: Windows of a piece that one search goes through: all searches of a shard step together.
 STRIDE = 128
 U = np.uint64
@@ -266,18 +266,29 @@ def _shards(batches):
 
 
 def _windows(batches):
-    """Contents of groups -> each distinct window of a group and the number of its places; a group over two batches gives some twice."""
-    for pdf in batches:
-        pieces = [np.frombuffer(x, U) for x in pdf["words"]]
-        counts = [len(p) - WIDTH + 1 for p in pieces]
+    """Contents sorted by group -> each distinct window of a group and the number of its places; a group over two blocks gives some twice."""
+
+    def out(blocks):
+        pieces = [x for b in blocks for x in b[2]]
+        counts = [len(x) - WIDTH + 1 for x in pieces]
         w = window_hashes(pieces)
-        key, part = (np.repeat(pdf[c].to_numpy(), counts) for c in ("key", "part"))
+        key, part = (np.repeat(np.concatenate([b[k] for b in blocks]), counts) for k in (0, 1))
         order = np.lexsort((w, part, key))
         w, key, part = w[order], key[order], part[order]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (part[1:] != part[:-1]) | (key[1:] != key[:-1])
         first = np.flatnonzero(new)
-        yield pd.DataFrame({"key": key[first], "part": part[first], "w": w[first], "n": np.diff(np.append(first, len(w)))})
+        return pd.DataFrame({"key": key[first], "part": part[first], "w": w[first], "n": np.diff(np.append(first, len(w)))})
+
+    blocks, size = [], 0
+    for pdf in batches:
+        blocks.append((pdf["key"].to_numpy(), pdf["part"].to_numpy(), [np.frombuffer(x, U) for x in pdf["words"]]))
+        size += sum(len(x) for x in blocks[-1][2])
+        if size >= COUNT_WORDS:
+            yield out(blocks)
+            blocks, size = [], 0
+    if blocks:
+        yield out(blocks)
 
 
 def _cut(batches):
@@ -355,7 +366,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = d.join(asked, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     words = materialise(texts.select("text", "wanted").mapInPandas(_contents, "key long, c1 long, c2 long, least long, words binary"))
     sizes = words.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
-    group = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("n") / GROUP)).cast("int").alias("part")
+    group = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("n") / CROWD)).cast("int").alias("part")
     crowded = materialise(words.join(sizes, "key").select("key", group, "c1", "c2", "least", "words"))
     simple = words.join(sizes.select("key"), "key", "left_anti")
     cut = thinned(crowded)

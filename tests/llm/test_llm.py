@@ -199,8 +199,7 @@ def test_fm_runs(limit):
 
 def test_crowd_counts_windows_by_group(spark, monkeypatch):
     """A passage in ever new variants costs a group its distinct windows, and not each holder's."""
-    monkeypatch.setattr(substring_dedup, "CROWD", 8)
-    monkeypatch.setattr(substring_dedup, "GROUP", 40, raising=False)
+    monkeypatch.setattr(substring_dedup, "CROWD", 40)
     sizes, real = [], substring_dedup.materialise
 
     def counted(df, *a):
